@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from waymark.llm._common import CACHE_ENTRIES, CHUNK, slices
 
 #: Text bytes of a block; a replay passes all ranks, so blocks are larger than other operators' slices.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 NONE = np.iinfo(np.int32).max
 
@@ -80,23 +80,26 @@ class MergeReplay:
         ends = np.cumsum(lengths)
         n = int(ends[-1])
         symbol = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         following[ends - 1] = -1
         before[np.concatenate([[0], ends[:-1]])] = -1
         rank = np.full(n, NONE, np.int32)
         live = np.ones(n, bool)
         inner = np.flatnonzero(following >= 0)
         rank[inner] = self.pair_ranks(symbol[inner], symbol[inner + 1])
-        index: dict[int, list[int]] = defaultdict(list)  # rank -> positions of left symbols
-        have = np.flatnonzero(rank < NONE)
+        have = np.flatnonzero(rank < NONE).astype(np.int32)
         have = have[np.argsort(rank[have], kind="stable")]
         values, starts = np.unique(rank[have], return_index=True)
-        for value, group in zip(values.tolist(), np.split(have, starts[1:])):
-            index[value] = group.tolist()
+        first = dict(zip(values.tolist(), np.split(have, starts[1:])))
+        index: dict[int, list[int]] = defaultdict(list)  # rank -> positions of left symbols, besides those of `first`
         heap, odd = values.tolist(), []
         while heap:
             r = heapq.heappop(heap)
-            at = np.unique(np.array(index.pop(r, ()), np.int64))
+            at = first.pop(r, None)
+            if later := index.pop(r, None):
+                at = np.array(sorted({*later, *(() if at is None else at.tolist())}), np.int32)
+            if at is None:
+                continue
             at = at[rank[at] == r]
             if not len(at):
                 continue
@@ -107,7 +110,7 @@ class MergeReplay:
                     if p != last:
                         keep.append(p)
                         last = q
-                at = np.array(keep)
+                at = np.array(keep, np.int32)
                 right = following[at]
             beyond = following[right]
             symbol[at] = r
@@ -127,7 +130,7 @@ class MergeReplay:
             for p, value in zip(fresh[found < NONE].tolist(), found[found < NONE].tolist()):
                 if value < r:
                     odd.append(p)  # a lower rank that only now came about
-                if value not in index:
+                if value not in index and value not in first:
                     heapq.heappush(heap, value)
                 index[value].append(p)
         word_of = np.repeat(np.arange(len(words)), lengths)[live]
@@ -165,6 +168,11 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
+
+
 _made: dict[tuple[str, str], MergeReplay] = {}
 
 
@@ -188,7 +196,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             for block in slices(batch, text, BLOCK_BYTES):
                 found = coder.encode([t or "" for t in block.column(text).to_pylist()])
                 for part in slices(block, text):
-                    here = pa.array([next(found) for _ in range(part.num_rows)], pa.list_(pa.int32()))  # of numpy arrays
+                    here = lists([next(found) for _ in range(part.num_rows)])
                     yield pa.RecordBatch.from_arrays([*part.columns, here], names=[*part.schema.names, ids])
 
     return keep.mapInArrow(run, schema)
@@ -202,7 +210,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = replayer(ranks_path, pattern)
         for batch in batches:
-            found = [coder.decode(x or []) for x in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            flat, cuts = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+            found = [coder.decode(flat[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]  # a null list has no values
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
     return keep.mapInArrow(run, schema)
