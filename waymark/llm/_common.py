@@ -103,9 +103,23 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out ^ np.uint64(width))
 
 
-WHITE = "\t-\r \x85\xa0  -     　"  # Unicode White_Space
+#: The characters of Unicode White_Space.
+WHITE_CHARS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE = "".join(f"\\u{ord(c):04x}" for c in WHITE_CHARS)
 #: A text in pieces, each white space and then other characters: both tokenizers' patterns break at every edge.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+TWO_WHITE = re.compile(f"[{WHITE}]{{2}}")
+ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split alone
+
+
+def chunks(text: str, keep: bool = True) -> list[str]:
+    """A text cut before white space; with keep=False the white space itself is left out."""
+    if not keep:
+        return text.split() if not ODD_SPACE.search(text) else [c for c in (x.lstrip(WHITE_CHARS) for x in CHUNK.findall(text)) if c]
+    if TWO_WHITE.search(text):
+        return CHUNK.findall(text)
+    first, *rest = text.split(" ")  # single spaces: other white space stays inside a chunk
+    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import CACHE_ENTRIES, CHUNK, slices
+from waymark.llm._common import CACHE_ENTRIES, chunks, slices
 
 #: Text bytes of a block; a replay passes all ranks, so blocks are larger than other operators' slices.
 BLOCK_BYTES = 12 << 20
@@ -141,10 +141,10 @@ class MergeReplay:
             out[w] = np.array(self.scalar(words[w]), np.int32).tobytes()
         return out
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Ids of chunks (white space and what follows it), through their distinct words."""
-        whole = [c for c in chunks if c.isalpha() or c[0] == " " and c[1:].isalpha()]  # each one match of the pattern
-        split = {c: self.pattern.findall(c) for c in chunks.difference(whole)}
+        whole = [c for c in new if c.isalpha() or c[0] == " " and c[1:].isalpha()]  # each one match of the pattern
+        split = {c: self.pattern.findall(c) for c in new.difference(whole)}
         words = list(set(whole).union(*split.values()))
         ids = dict(zip(words, self.replay([w.encode() for w in words])))
         self.known.update((c, ids[c]) for c in whole)
@@ -156,13 +156,13 @@ class MergeReplay:
             self.known.clear()
         new: set[str] = set()
         for text in texts:
-            new.update(CHUNK.findall(text))
+            new.update(chunks(text))
         new.difference_update(self.known)
         if new:
             self.learn(new)
         get = self.known.__getitem__
         for text in texts:
-            yield np.frombuffer(b"".join(map(get, CHUNK.findall(text))), np.int32)
+            yield np.frombuffer(b"".join(map(get, chunks(text))), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from waymark.llm._common import CACHE_ENTRIES, CHUNK
+from waymark.llm._common import CACHE_ENTRIES, chunks
 
-BATCH = 4096
+#: Words that the library gets in one string.
+JOINED = 64
+#: A word of Latin-1 letters and ASCII marks behind it; the patterns of both tokenizers break between them.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
 
 
 class ChunkEncoder:
-    """Ids of whole texts. Both supported pre-tokenizers break wherever white space begins, so a
-    text's ids are those of its chunks in order, and the library encodes each distinct chunk once."""
+    """Ids of whole texts by a byte-level tokenizer without normaliser, or by one that folds case and drops white space.
+
+    The patterns of both break wherever white space begins, so a text's ids are those of its
+    chunks in order, and each distinct chunk is encoded once.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.spaced = json.loads(self.library.to_str())["pre_tokenizer"]["type"] == "ByteLevel"
+        tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        # where a word begins in ids of words joined together: at a token with a space, or behind one with a word's end
+        self.edge = np.array([t.startswith("Ġ") if self.spaced else t.endswith("</w>") for t in tokens])
         self.known: dict[str, bytes] = {}
 
+    def _singly(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 2048):
+            for found in self.library.encode_batch_fast(words[i : i + 2048], add_special_tokens=False):
+                yield np.array(found.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that each are one match of the pattern (and begin with a space, where spaces matter)."""
+        for i in range(0, len(words), 32 * JOINED):
+            groups = [words[j : j + JOINED] for j in range(i, min(len(words), i + 32 * JOINED), JOINED)]
+            found = self.library.encode_batch_fast([("" if self.spaced else " ").join(g) for g in groups], add_special_tokens=False)
+            ids = np.array([x for e in found for x in e.ids], "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = (4 * (np.append(edges, len(ids)) if self.spaced else np.append(0, edges + 1))).tolist()
+            if len(cuts) - 1 != sum(map(len, groups)):
+                raise ValueError("words joined together are not told apart")
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def _learn(self, new: set[str]) -> None:
+        plain = {c: m for c in new if (m := PLAIN.fullmatch(c))}
+        other = [c for c in new if c not in plain]
+        self.known.update(zip(other, self._singly(other)))
+        fold = (lambda w: w) if self.spaced else (lambda w: w.strip().lower())
+        words = {fold(m[1]) for m in plain.values()}
+        joint = [w for w in words if w[0] == " "] if self.spaced else list(words)
+        lone = [w for w in words if w[0] != " "] if self.spaced else []
+        ids = dict(zip(joint, self._joined(joint))) | dict(zip(lone, self._singly(lone)))
+        marks = list({m[2] for m in plain.values()} - {""})
+        ends = dict(zip(marks, self._singly(marks))) | {"": b""}
+        self.known.update((c, ids[fold(m[1])] + ends[m[2]]) for c, m in plain.items())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(CHUNK.findall(text))
-        fresh = list(new.difference(self.known))
-        for i in range(0, len(fresh), BATCH):
-            part = fresh[i : i + BATCH]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        split = [chunks(t) for t in texts] if self.spaced else [chunks(t, keep=False) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, CHUNK.findall(text))), "<u4") for text in texts]
+        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
 
 _made: dict[str, ChunkEncoder] = {}
