@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, packing, quality, rules, token_files, toxicity
+from waymark.llm import byte_bpe, chat, near_vectors, packing, quality, rules, token_files, toxicity
 from waymark.llm._common import table
 
 
@@ -49,6 +49,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.links(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_quality": op4_quality,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
