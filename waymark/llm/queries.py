@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, near_vectors, packing, quality, rules, substrings, token_files, toxicity
+from waymark.llm import byte_bpe, chat, jaccard, near_vectors, packing, quality, rules, substrings, token_files, toxicity
 from waymark.llm._common import table
 
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -60,6 +64,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
