@@ -1,15 +1,64 @@
-"""Corpus pipeline; its stages follow as the operators come."""
+"""Corpus pipeline: from raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes a
+stage's documents to the shared folder before the next one reads them. All but the last stage
+return the columns of `documents`. Models are fitted on the labelled documents that reach a stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm import jaccard, packing, quality, substrings, toxicity
+from waymark.llm._common import materialise, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of 0.3 or more)."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, threshold=0.3).filter("predicted = 1").select(*docs.columns)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not scored as toxic (score below 0.5)."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.5).filter("predicted = 0").select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Rows without doc_id stay."""
+    others = jaccard.join(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 words and more that an earlier one has; the others' texts stay as they are."""
+    found = substrings.dedup(docs, width=50)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("toxicity", keep_clean),
+    ("n-gram Jaccard join", keep_one),
+    ("substring dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Trained models and packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
