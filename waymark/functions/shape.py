@@ -6,8 +6,10 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-POINTS = "array<struct<lat:double,lon:double>>"
+POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
+MEASURES = ("bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax", "centroid_x", "centroid_y")
 
 
 def decode_polyline(text: str, precision: int = 6) -> list[tuple[float, float]]:
@@ -70,8 +72,7 @@ def line_measures(points: list[tuple[float, float]]) -> dict[str, float]:
     return {"bbox_xmin": min(xs), "bbox_ymin": min(ys), "bbox_xmax": max(xs), "bbox_ymax": max(ys), "centroid_x": cx, "centroid_y": cy}
 
 
-@F.pandas_udf("bbox_xmin double, bbox_ymin double, bbox_xmax double, bbox_ymax double, centroid_x double, centroid_y double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in MEASURES]))
 def wkb_measures(geometry: pd.Series) -> pd.DataFrame:
-    names = ("bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax", "centroid_x", "centroid_y")
-    rows = [line_measures(wkb_line(g)) if g is not None else dict.fromkeys(names) for g in geometry]
-    return pd.DataFrame(rows, columns=list(names), dtype="float64")
+    rows = [line_measures(wkb_line(g)) if g is not None else dict.fromkeys(MEASURES) for g in geometry]
+    return pd.DataFrame(rows, columns=list(MEASURES), dtype="float64")
