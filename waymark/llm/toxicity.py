@@ -26,6 +26,8 @@ from waymark.llm.quality import training_rows
 TRAIN_ROWS, TRAIN_CHAINS = 20_000, 12_000
 #: Words and prefixes of the vocabulary at most; tokens of a chain at most.
 VOCABULARY, CHAIN = 2_000, 128
+#: Tokens of a chain in training.
+LESSON = 32
 #: Natural logarithm of the odds against chance that a toxic word needs.
 SURPRISE = 16.0
 #: Letters that a prefix in the vocabulary may have.
@@ -167,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 hits = [i for i, w in enumerate(found) if w]
                 where = {(found[i], hash_of(own[i - 1]) if i else 0) for i in hits}
                 words, before = zip(*sorted(where)) if where else ((), ())
-                some = [i // CHAIN for i in hits]
+                some = [i // LESSON for i in hits]
                 for k in sorted({*some[:: max(1, len(some) // 4)]} or {0})[:4]:  # some chains with words of the vocabulary, or one without
-                    rows.append((doc, label, words, before, found[k * CHAIN : (k + 1) * CHAIN]))
+                    rows.append((doc, label, words, before, found[k * LESSON : (k + 1) * LESSON]))
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "label", "words", "before", "chain"])
@@ -179,13 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         raise ValueError("no labelled documents to learn from")
     toxic = lexicon(list({r[0]: r[1:4] for r in rows}.values()))
     used = sorted((r for r in rows if r[4]), key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))[:TRAIN_CHAINS]
-    words = np.zeros((len(used), CHAIN), np.int64)
+    words = np.zeros((len(used), LESSON), np.int64)
     for i, r in enumerate(used):
         words[i, : len(r[4])] = r[4]
     label = np.array([r[1] for r in used])
     state = np.isin(words, list(toxic)) & (label == 1)[:, None]
     length = np.array([len(r[4]) for r in used])
-    weight, moves = crf.fit(neighbours(words, size), state.astype(float), length, 3 * size, rounds=40, offset=-4.0)
+    weight, moves = crf.fit(neighbours(words, size), state.astype(float), length, 3 * size, rounds=120, offset=-4.0)
     weight[:size] -= 4.0  # the offset of every token, as a part of its word's weight
     model = Model(vocabulary, weight, moves, np.zeros(3))
     x = np.array([summary(p) for p in model.tag([np.array(r[4], np.int64) for r in used])]).reshape(-1, 3)
