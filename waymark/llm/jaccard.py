@@ -28,8 +28,10 @@ from waymark.llm.substrings import by_bucket
 WIDTH = 5
 #: Entries of the table of frequent shingles that every task gets (8 bytes each).
 FREQUENT = 1 << 17
-#: Members of a signature's group that are compared at once; larger groups are compared in rounds.
+#: Members of a signature's group that are compared at once; larger groups are compared in three steps.
 SMALL = 4
+#: Members of a large group that all others meet first; members of a group that meet in one task.
+PIVOTS, BLOCK = 8.0, 2048
 ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8")])
 BLOCK_BYTES = 16 << 20
 
@@ -193,6 +195,94 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles that fall to each of some bits: two sets differ in at least as many shingles as bits.
+
+    The bits are a power of two, four to eight times the size; halves laid over each other give a smaller sketch.
+    """
+    bits = 8 << max(3, len(s).bit_length() - 1)
+    at = (mix(s ^ np.uint64(0x51ED270B)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["set", "n", "bits"])
+
+    return texts.mapInArrow(run, "`set` long, n long, bits binary")
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """(sets x words) of sketches, all as small as the smallest."""
+    least = min(map(len, bits))
+    rows = []
+    for b in bits:
+        x = np.frombuffer(b, "<u8")
+        while 8 * len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
+
+
+def likely(active: DataFrame, sketched: DataFrame, most: int | None) -> DataFrame:
+    """(a, b): pairs of a group in different components whose sketches allow a similarity of 0.8.
+
+    One of a pair is outside its group's largest component. With `most`, each such set brings only
+    that many partners of its group, those that differ least. Groups larger than BLOCK are dealt
+    out in blocks, and all pairs of blocks meet.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = (
+        active.select("sig", "set", "component", blocks.alias("blocks"))
+        .withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "component")
+        .join(sketched, "set")
+    )
+    ordered = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "set")
+
+    def compare(rows: list[dict]) -> np.ndarray:
+        sets, component, n, own = (np.array([r[c] for r in rows], np.int64) for c in ("set", "component", "n", "own"))
+        values, times = np.unique(component, return_counts=True)
+        outside = np.flatnonzero(component != values[times.argmax()])
+        if not len(outside):
+            return np.empty((0, 2), np.int64)
+        bits, found = folded([r["bits"] for r in rows]), []
+        apart = rows[0]["i"] != rows[0]["j"]
+        for u in outside.tolist():
+            far = np.bitwise_count(bits ^ bits[u]).sum(1, dtype=np.int64)
+            ok = (9 * far <= n + n[u]) & (component != component[u]) & (5 * np.minimum(n, n[u]) >= 4 * np.maximum(n, n[u]))
+            if apart:
+                ok &= own != own[u]
+            with_ = np.flatnonzero(ok)
+            if most is not None and len(with_) > most:
+                with_ = with_[np.argsort(far[with_], kind="stable")[:most]]
+            found.append(np.stack([np.minimum(sets[u], sets[with_]), np.maximum(sets[u], sets[with_])], 1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                out = compare(held)
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (held[0]["sig"], held[0]["i"], held[0]["j"]) != (row["sig"], row["i"], row["j"]):
+                    yield from flush()
+                    held = []
+                held.append(row)
+        yield from flush()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def join(df: DataFrame) -> DataFrame:
     """One row per document of df (doc_id, text; other columns are left out): doc_id, n_shingles, component_id.
 
@@ -217,30 +307,23 @@ def join(df: DataFrame) -> DataFrame:
     wanted = members.join(sets, "set").select("set", F.col("first").alias("doc_id"))
     texts = materialise(_one_text(docs, wanted), "texts")
 
-    # Large groups: in each round some members (those whose place, spread evenly by hash, falls below a
-    # doubling bound) are compared with all later ones that they are not connected with yet.
-    links, tried, component = None, None, None
-    low, high = 0.0, 2.0
-    while True:
-        active = large
-        if component is not None:
-            active = large.join(component.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-            open_ = active.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("size").alias("n")).filter(F.col("x") != F.col("y")).filter(F.col("n") > low).select("sig")
-            active = materialise(active.join(open_, "sig"), "active")
-            if not active.limit(1).count():
-                break
-        else:
-            active = active.withColumn("component", F.col("set"))
-        pivots = active.filter((F.col("at") >= low) & (F.col("at") < high)).select("sig", F.col("set").alias("p"), F.col("at").alias("pat"), F.col("component").alias("pc"))
-        met = active.join(pivots, "sig").filter("at > pat and component != pc").select(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b"))
-        pairs = (met if links is not None else met.union(small)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = materialise(verify(materialise(pairs, "pairs"), sets, texts), "checked")
-        tried = checked if tried is None else tried.union(checked)
-        links = tried.filter("linked").select("a", "b")
-        component = connected_components(links, "sets")
-        low, high = high, 2 * high
+    # Large groups. First every member meets a few of the others (those of the smallest hashes, the
+    # same ones in all groups); then each that is not connected with the most of its group meets its
+    # two likeliest partners; then all partners that its sketch does not rule out.
+    pivots = large.filter(F.col("at") < PIVOTS).select("sig", F.col("set").alias("p"), F.col("at").alias("pat"))
+    met = large.join(pivots, "sig").filter("at > pat").select(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b"))
+    tried = materialise(verify(materialise(met.union(small).distinct(), "pairs"), sets, texts), "checked")
+    component = connected_components(tried.filter("linked").select("a", "b"), "sets")
+    sketched = materialise(sketches(texts), "sketches")
+    for most in (2, None):
+        placed = large.join(component.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("sig")
+        active = materialise(placed.join(split, "sig"), "active")
+        if not active.limit(1).count():
+            break
+        pairs = likely(active, sketched, most).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = tried.union(materialise(verify(materialise(pairs, "pairs"), sets, texts), "checked"))
+        component = connected_components(tried.filter("linked").select("a", "b"), "sets")
 
     placed = sets.join(component.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("component", "set").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
