@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions.geo import EARTH_M
@@ -94,9 +93,10 @@ def find_stops(lat: list, lon: list, t: list, diameter: float, duration: int) ->
             y, x = lat[end], lon[end]
             if y is None or x is None:
                 break
-            south, north, west, east = min(south, y), max(north, y), min(west, x), max(east, x)
-            if north - south > degrees or east - west > degrees or haversine(south, west, north, east) > diameter:
-                break
+            if y < south or y > north or x < west or x > east:  # else the box stays as it was
+                south, north, west, east = min(south, y), max(north, y), min(west, x), max(east, x)
+                if north - south > degrees or east - west > degrees or haversine(south, west, north, east) > diameter:
+                    break
             if (t[end] is None) != (t[start] is None):
                 enough = duration <= 0 and t[start] is None
             else:
@@ -150,8 +150,13 @@ def traffic_flags(columns: dict[str, list], stop: list[bool], angle: float, dist
 
 
 def prepared(df: DataFrame, id_col: str, time_col: str) -> DataFrame:
-    """Dealt by vehicle and sorted by time (nulls first), with the time in microseconds."""
-    return df.withColumn(US, micros(time_col)).repartition(id_col).sortWithinPartitions(id_col, time_col)
+    """Dealt by vehicle and sorted by time (nulls first), with the time in microseconds.
+
+    The number of partitions is given, so that adaptive execution does not merge small ones: a walk
+    is bound by its steps and not by bytes.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(US, micros(time_col)).repartition(n, id_col).sortWithinPartitions(id_col, time_col)
 
 
 def walk_filter(df: DataFrame, id_col: str, columns: list[str], make: Callable[[], list]) -> DataFrame:
@@ -222,7 +227,3 @@ def segment_numbers(flags: list[bool]) -> list[int]:
         n += bool(i) and f != flags[i - 1]
         out.append(n)
     return out
-
-
-def dealt_again(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c not in columns], *[F.col(c) for c in columns])
