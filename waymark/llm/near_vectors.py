@@ -2,8 +2,9 @@
 
 Vectors are normalised; a table hashes one by HASHES random projections (normal, hence 2-stable),
 shifted and quantised to cells of WIDTH. At cosine 0.98 two vectors are at most 0.2 apart, and one
-projection separates them with probability 0.10 (1.6 wide cells): all twelve agree with
-probability 0.28 or more, and one of 16 tables does with 0.995. Vectors meet only within a bucket
+projection separates them with probability 0.10 (1.6 wide cells): all sixteen agree with
+probability 0.18 or more, and one of 26 tables does with 0.995; vectors at right angles share a
+bucket of a table with probability 6e-7. Vectors meet only within a bucket
 of a table and a label, and every pair that meets is compared in double precision.
 """
 
@@ -12,14 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm._common import connected_components, materialise
 
-TABLES, HASHES, WIDTH, SEED = 16, 12, 1.6, 20_240_613
+TABLES, HASHES, WIDTH, SEED = 26, 16, 1.6, 20_240_613
 #: Vectors of a bucket that meet in one task; a larger bucket is dealt out in blocks, and all pairs of blocks meet.
 BLOCK = 1024
 
@@ -45,6 +45,50 @@ def usable(v) -> bool:
     return bool(np.isfinite(x).all() and x.any())
 
 
+def rows_of(found: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=["rep", "links", "with"])
+
+
+def meet(key: tuple | None, held: list[tuple[np.ndarray, ...]], least: float) -> list[tuple[int, int, int | None]]:
+    """Links within a bucket's block (i = j) or between two of its blocks that no earlier table has shown.
+
+    Rows (rep, links, None) count them, and rows (rep, 0, with) are a forest that tells what is connected.
+    """
+    if sum(len(h[0]) for h in held) < 2:
+        return []
+    _, table, _, i, j, _ = key
+    rep, copies, own, unit, keys = (np.concatenate(x) for x in zip(*held))
+    degree, edges, parent = np.zeros(len(rep), np.int64), [], list(range(len(rep)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(rep) - 1):
+        dots = unit[a + 1 :] @ unit[a]
+        near = np.flatnonzero(dots >= least - 1e-9)
+        if not len(near):
+            continue
+        sure = dots[near] >= least + 1e-9
+        near += a + 1
+        if not sure.all():  # at the threshold, as a plain sum of products
+            near = near[sure | ((unit[near] * unit[a]).sum(1) >= least)]
+        if i != j:
+            near = near[own[near] != own[a]]
+        near = near[~(keys[near, :table] == keys[a, :table]).any(1)]
+        if len(near):
+            degree[a] += copies[near].sum()
+            degree[near] += copies[a]
+            for b in near.tolist():
+                p, q = sorted((root(a), root(b)))
+                if p != q:
+                    parent[q] = p
+                    edges.append((int(rep[a]), 0, int(rep[b])))
+    return [(int(r), int(d), None) for r, d in zip(rep, degree) if d] + edges
+
+
 def links(df: DataFrame, least: float = 0.98) -> DataFrame:
     """One row per vector of df (vec_id, embedding, label): n_links, component_id and kept.
 
@@ -85,41 +129,29 @@ def links(df: DataFrame, least: float = 0.98) -> DataFrame:
         .select("label", "table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "unit", "keys")
     )
 
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """Links within block i = j, or between blocks i and j, that no earlier table has shown."""
-        table, i, j = key[1], key[3], key[4]
-        group = group.sort_values("rep")
-        rep, copies, own = (group[c].to_numpy() for c in ("rep", "copies", "own"))
-        unit, keys = np.stack(group["unit"].to_numpy()), np.stack(group["keys"].to_numpy())
-        degree, edges = np.zeros(len(rep), np.int64), []
-        parent = np.arange(len(rep))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a in range(len(rep) - 1):
-            near = np.flatnonzero(unit[a + 1 :] @ unit[a] >= least - 1e-9) + a + 1
-            if i != j:
-                near = near[own[near] != own[a]]
-            if len(near):
-                # exactly as a sum of products of the two vectors
-                near = near[[float(np.sum(unit[a] * unit[b])) >= least for b in near]]
-                near = near[~(keys[near, :table] == keys[a, :table]).any(1)]
-            if len(near):
-                degree[a] += copies[near].sum()
-                degree[near] += copies[a]
-                for b in near.tolist():
-                    p, q = sorted((root(a), root(b)))
-                    if p != q:  # a forest tells what is connected
-                        parent[q] = p
-                        edges.append((rep[a], rep[b]))
-        out = [(int(r), int(d), None) for r, d in zip(rep, degree) if d] + [(int(x), 0, int(y)) for x, y in edges]
-        return pd.DataFrame(out, columns=["rep", "links", "with"]).astype({"rep": "int64", "links": "int64", "with": "Int64"})
-
-    met = materialise(dealt.groupBy("label", "table", "key", "i", "j").applyInPandas(meet, "rep long, links long, with long"), "met")
+    parts = ["label", "table", "key", "i", "j", "dim"]
+    ordered = dealt.withColumn("dim", F.size("unit")).select(*[F.col(c).cast("long").alias(c) for c in (*parts, "own", "rep", "copies")], "unit", "keys")
+    ordered = ordered.repartition(*parts).sortWithinPartitions(*parts, "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in parts], 1)
+            plain = [batch.column(c).to_numpy() for c in ("rep", "copies", "own")]
+            flat = batch.column("unit").flatten().to_numpy()
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, TABLES)
+            start = np.append(0, np.cumsum(where[:, -1]))
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if (key := tuple(where[a].tolist())) != now:
+                    out += meet(now, held, least)
+                    now, held = key, []
+                held.append((*(x[a:b] for x in plain), flat[start[a] : start[b]].reshape(b - a, -1), keys[a:b]))
+            yield rows_of(out)
+            out = []
+        yield rows_of(meet(now, held, least))
+
+    met = materialise(ordered.mapInArrow(run, "rep long, links long, with long"), "met")
     component = connected_components(met.filter("with is not null").select(F.col("rep").alias("a"), F.col("with").alias("b")), "vectors")
     counted = met.groupBy("rep").agg(F.sum("links").alias("links"))
     found = (
