@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, jaccard, near_vectors, packing, quality, rules, substrings, token_files, toxicity
+from waymark.llm import byte_bpe, chat, jaccard, near_vectors, oracles, packing, quality, rules, substrings, token_files, toxicity
 from waymark.llm._common import table
 
 
@@ -76,5 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": oracles.JACCARD,
+    "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op10_near_vectors": oracles.VECTORS,
     "op6_chat_format": chat.ORACLE,
 }
