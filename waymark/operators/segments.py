@@ -32,7 +32,6 @@ def resample(df: DataFrame, step_s: int = 60, id_col: str = "id", time_col: str
     time are left out; of pings at one time the last in order of position counts.
     """
     step = step_s * 1_000_000
-    w = Window.partitionBy(id_col).orderBy("_t", "lat", "lon")
     known = df.select(F.col(id_col).alias("id"), micros(time_col).alias("_t"), "lat", "lon", "speed", "heading").filter("_t is not null")
     w = Window.partitionBy("id").orderBy("_t", "lat", "lon")
     nxt = {c: F.lead(c).over(w) for c in ("_t", "lat", "lon", "speed", "heading")}
@@ -90,6 +89,12 @@ def trip_recovery(df: DataFrame, id_col: str = "id", segment_col: str = "segment
     return df.groupBy(id_col, segment_col).agg(F.countDistinct(truth_col).alias("n_trips"), F.sort_array(F.collect_set(truth_col)).alias("trips"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def compare_stops(a: DataFrame, b: DataFrame, id_col: str = "id", time_col: str = "time") -> DataFrame:
+    """Stop pings of two splits by vehicle and day, side by side; what only one of them has is null in the other."""
+    daily = lambda df, name: df.filter("is_stop").groupBy(id_col, F.to_date(time_col).alias("day")).agg(F.count(F.lit(1)).alias(name))
+    return daily(a, "n_a").join(daily(b, "n_b"), [id_col, "day"], "full_outer")
+
+
 def tile_dataset(df: DataFrame, copies: int, shift_s: int, id_col: str = "id", time_col: str = "time") -> DataFrame:
     """`copies` of df with ids and times of their own, for runs at a larger scale."""
     k = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))

@@ -6,7 +6,7 @@ All run over the pings that sources.fixture makes of the events table.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, ids
 from waymark.operators import partition, quality, segments, trajectory, ways
 from waymark.plans import layout, trips
+from waymark.sources import readers
 from waymark.sources.fixture import GPS_SQL, gps_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,6 +478,51 @@ def partition_timing_stats(p: DataFrame) -> DataFrame:
     return s.select("tier", "trips", *[F.round(c, 6).alias(c) for c in ("sum_s", "median_s", "p95_s", "fail_rate", "ms_per_point")])
 
 
+# --- Lookups -----------------------------------------------------------------------------------
+
+
+def _chunked(p: DataFrame) -> DataFrame:
+    return p.withColumn("chunk_id", ids.raw_chunk("id"))
+
+
+@query(sql(f"SELECT {ALL}, right(id, 2) AS chunk_id FROM gps WHERE right(id, 2) = '03' AND id = 'truck_000003'"))
+def scan_raw_truck(p: DataFrame) -> DataFrame:
+    return readers.raw_truck(_chunked(p), "truck_000003")
+
+
+@query(sql(f"SELECT {ALL} FROM gps WHERE starts_with(id, 'truck_00000')"))
+def scan_partitioned_truck(p: DataFrame) -> DataFrame:
+    return readers.of_truck(p, "truck_00000")
+
+
+@query(sql(f"SELECT {ALL} FROM gps WHERE id = 'truck_000004' AND time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-12 06:00:00'"))
+def trace_time_range(p: DataFrame) -> DataFrame:
+    return readers.time_range(p.filter("id = 'truck_000004'"), "2024-01-05", "2024-01-12T06:00:00")
+
+
+@query(sql(f"SELECT {ALL} FROM gps WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'"))
+def trace_date_range(p: DataFrame) -> DataFrame:
+    return readers.date_range(p, date(2024, 1, 5), date(2024, 1, 7))
+
+
+@query(sql("SELECT right(id, 3) AS chunk_id, count(DISTINCT id) AS n_trips FROM gps GROUP BY 1"))
+def chunk_index(p: DataFrame) -> DataFrame:
+    return p.groupBy(ids.trip_chunk("id").alias("chunk_id")).agg(F.countDistinct("id").alias("n_trips"))
+
+
+@query(
+    sql(
+        "SELECT coalesce(a.id, b.id) AS id, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, a.n AS n_a, b.n AS n_b FROM (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s1 WHERE is_stop GROUP BY ALL) a"
+        " FULL JOIN (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s2 WHERE is_stop GROUP BY ALL) b ON a.id = b.id AND a.day = b.day",
+        stops_cte("gps", 250, 1800, "s1"),
+        stops_cte("gps", 5, 1800, "s2"),
+    )
+)
+def compare_stop_settings(p: DataFrame) -> DataFrame:
+    found = segments.compare_stops(trajectory.split_by_stops(p, DIAMETER, DURATION), trajectory.split_by_stops(p, 5.0, DURATION))
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments between silences of 12 hours, with their pings, start and end."""
     cut = trajectory.split_by_observation_gap(gps_points(spark, sf_dir), GAP)
