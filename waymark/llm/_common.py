@@ -19,6 +19,8 @@ SLICE_BYTES = 4 << 20
 
 #: Entries of a worker's word caches; a cache that is full starts anew.
 CACHE_ENTRIES = 400_000
+#: Entries of a worker's table of word hashes.
+HASH_ENTRIES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,7 @@ class WordHashes(dict):
     """64-bit hash of each word, computed once per word and worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= HASH_ENTRIES:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -33,7 +33,7 @@ SMALL = 4
 #: Members of a large group that all others meet first; members of a group that meet in one task.
 PIVOTS, BLOCK = 8.0, 2048
 ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8")])
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -184,12 +184,13 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
         last, kept = None, np.empty(0, np.uint64)
         for batch in batches:
             linked = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                if a != last:
-                    last, kept = a, shingles(ta)
-                other = shingles(tb)
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                linked.append(100 * common >= 80 * (len(kept) + len(other) - common))
+            for part in slices(batch, "tb"):
+                for a, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "ta", "tb"))):
+                    if a != last:
+                        last, kept = a, shingles(ta)
+                    other = shingles(tb)
+                    common = len(np.intersect1d(kept, other, assume_unique=True))
+                    linked.append(100 * common >= 80 * (len(kept) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return both.mapInArrow(run, "a long, b long, linked boolean")
