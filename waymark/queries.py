@@ -512,7 +512,7 @@ def chunk_index(p: DataFrame) -> DataFrame:
 
 @query(
     sql(
-        "SELECT coalesce(a.id, b.id) AS id, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, a.n AS n_a, b.n AS n_b FROM (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s1 WHERE is_stop GROUP BY ALL) a"
+        "SELECT coalesce(a.id, b.id) AS id, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s1 WHERE is_stop GROUP BY ALL) a"
         " FULL JOIN (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s2 WHERE is_stop GROUP BY ALL) b ON a.id = b.id AND a.day = b.day",
         stops_cte("gps", 250, 1800, "s1"),
         stops_cte("gps", 5, 1800, "s2"),
@@ -520,7 +520,7 @@ def chunk_index(p: DataFrame) -> DataFrame:
 )
 def compare_stop_settings(p: DataFrame) -> DataFrame:
     found = segments.compare_stops(trajectory.split_by_stops(p, DIAMETER, DURATION), trajectory.split_by_stops(p, 5.0, DURATION))
-    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return found.select("id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b")])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
