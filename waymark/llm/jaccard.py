@@ -31,7 +31,7 @@ FREQUENT = 1 << 17
 #: Members of a signature's group that are compared at once; larger groups are compared in three steps.
 SMALL = 4
 #: Members of a large group that all others meet first; members of a group that meet in one task.
-PIVOTS, BLOCK = 8.0, 2048
+PIVOTS, BLOCK = 2.0, 2048
 ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8")])
 BLOCK_BYTES = 8 << 20
 
