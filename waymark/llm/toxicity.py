@@ -9,6 +9,7 @@ marginals of all tokens of a whole text then give its score and the offsets of o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,12 +25,12 @@ from waymark.llm.quality import training_rows
 
 #: Labelled rows that the field is fitted on at most, and chains among them.
 TRAIN_ROWS, TRAIN_CHAINS = 20_000, 12_000
-#: Words and prefixes of the vocabulary at most; tokens of a chain at most.
-VOCABULARY, CHAIN = 2_000, 128
+#: Tokens of a chain at most.
+CHAIN = 128
 #: Tokens of a chain in training.
 LESSON = 32
-#: Natural logarithm of the odds against chance that a toxic word needs.
-SURPRISE = 16.0
+#: Share of toxic cases, natural logarithm of the odds against chance, and different toxic texts that a toxic word needs.
+SHARE, SURPRISE, TEXTS = 0.85, 16.0, 3
 #: Letters that a prefix in the vocabulary may have.
 PREFIX = (3, 8)
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -117,10 +118,12 @@ def lexicon(rows: list[tuple[int, list[int], list[int]]]) -> set[int]:
     """Words that set toxic documents apart. rows: label, vocabulary words, and what stands before each.
 
     A word's cases are counted by what stands before it, so the copies of one document count once.
-    A word is taken if toxic cases prevail (17 of 20) by more than chance would give any of many words.
+    A word is taken if toxic cases prevail (17 of 20) by more than chance would give any of many words,
+    and if toxic texts of at least three kinds have it; texts with the same words are of one kind.
     """
     base = min(0.5, max(0.01, sum(label for label, *_ in rows) / len(rows)))
     cases: dict[int, dict[int, int]] = {}
+    kinds = Counter(w for words in {(*words, None, *before) for label, words, before in rows if label} for w in set(words[: words.index(None)]))
     for label, words, before in rows:
         for w, context in zip(words, before):
             own = cases.setdefault(w, {})
@@ -129,33 +132,54 @@ def lexicon(rows: list[tuple[int, list[int], list[int]]]) -> set[int]:
     for w, own in cases.items():
         n, on = len(own), sum(own.values())
         share = on / n
-        if share >= 0.85:
+        if share >= SHARE and kinds[w] >= TEXTS:
             surprise = n * (share * np.log(share / base) + (1 - share) * np.log(max(1 - share, 1e-9) / (1 - base)))
             if surprise >= SURPRISE:
                 chosen.add(w)
     return chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on labels (doc_id, toxic). Counts of at most VOCABULARY words and prefixes and the chains of at most `most` rows reach the driver."""
-    labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
+def case_counts(labelled: DataFrame) -> DataFrame:
+    """(pattern, on, n): the cases of every word and prefix of labelled texts, and the toxic ones among them.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A case is what stands before the word, as in lexicon(): it counts once, and is toxic if all its
+    texts are. Cases are dealt by the first letters, which all patterns of a word share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                seen: dict[str, list[int]] = {}
+                raw: dict[tuple[bytes, bytes | None], int] = {}
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                    words = set(map(word_of, set(tokens(text)))) - {""}
-                    for key in {p for w in words for p in patterns(w)}:
-                        own = seen.setdefault(key, [0, 0])
-                        own[0] += label
-                        own[1] += 1
-                rows = [(k, on, n) for k, (on, n) in seen.items()]
-                names, kinds = ["pattern", "on", "n"], [pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    seen = labelled.select("text", "label").mapInArrow(count, "pattern string, on long, n long").groupBy("pattern").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
-    likely = seen.filter("on >= 3 and 2 * on >= n").orderBy(F.desc("on"), "pattern").limit(VOCABULARY).collect()
+                    own = tokens(text)
+                    for pair in set(zip(own, [None, *own])):
+                        raw[pair] = min(raw.get(pair, 1), label)
+                word = {t: word_of(t) for t in {t for t, _ in raw}}
+                mark = {t: hash_of(t) if t is not None else 0 for t in {t for _, t in raw}}
+                seen: dict[tuple[str, int], int] = {}
+                for (token, before), label in raw.items():
+                    pair = word[token], mark[before]
+                    if pair[0]:
+                        seen[pair] = min(seen.get(pair, 1), label)
+                cells = [pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.int64()), pa.array(seen.values(), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cells, names=["word", "before", "label"])
+
+    prefixes = f"transform(sequence({PREFIX[0]}, least({PREFIX[1]}, length(word) - 1)), k -> concat(substring(word, 1, k), '*'))"
+    known = F.expr(f"if(length(word) > {PREFIX[0]}, concat(array(word), {prefixes}), array(word))")
+    dealt = labelled.select("text", "label").mapInArrow(run, "word string, before long, label int").withColumn("stem", F.substring("word", 1, PREFIX[0])).repartition("stem")
+    cases = dealt.select("stem", F.explode(known).alias("pattern"), "before", "label").groupBy("stem", "pattern", "before").agg(F.min("label").alias("label"))
+    return cases.groupBy("stem", "pattern").agg(F.sum("label").alias("on"), F.count("label").alias("n")).select("pattern", "on", "n")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """Fit on labels (doc_id, toxic). All words and prefixes that set toxic texts apart and the chains of at most `most` rows reach the driver."""
+    labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
+
+    base = min(0.5, max(0.01, labelled.agg(F.avg("label")).collect()[0][0] or 0.0))
+    seen = materialise(case_counts(labelled), "patterns")
+    share, rest = F.col("on") / F.col("n"), F.greatest(1 - F.col("on") / F.col("n"), F.lit(1e-9))
+    odds = F.col("n") * (share * F.log(F.greatest(share, F.lit(1e-9)) / base) + (1 - share) * F.log(rest / (1 - base)))
+    likely = seen.filter((share >= SHARE) & (odds >= SURPRISE)).orderBy("pattern").collect()
     vocabulary = {r["pattern"]: i for i, r in enumerate(likely, 1)}
     size = len(vocabulary) + 1
 
