@@ -25,3 +25,11 @@ def test_copies_leave_toxic_words_in_the_vocabulary(spark):
     long = " ".join(f"z{a}{b}{c}y" for a in letters for b in letters for c in letters)  # 2,197 words of its own
     docs, labels, _ = corpus(spark, 600, 60, 100, long)
     assert "vilest" in toxicity.train(docs, labels).vocabulary
+
+
+def test_copies_leave_the_base_rate(spark):
+    docs, labels, common = corpus(spark, 600, 20, 900, "some zorgy text that is said over and over")
+    model = toxicity.train(docs, labels)
+    said = spark.createDataFrame([(1, f"{common[5]} vilest {common[8]} {common[9]}")], "doc_id long, text string")
+    row = toxicity.score(said, model).collect()[0]
+    assert [said.first()["text"][s["start"] : s["end"]] for s in row["spans"]] == ["vilest"]

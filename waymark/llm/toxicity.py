@@ -114,14 +114,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def lexicon(rows: list[tuple[int, list[int], list[int]]]) -> set[int]:
-    """Words that set toxic documents apart. rows: label, vocabulary words, and what stands before each.
+def lexicon(rows: list[tuple[int, list[int], list[int]]], base: float) -> set[int]:
+    """Words that set toxic documents apart. rows: label, vocabulary words, and what stands before each; base: share of toxic cases among those of all words.
 
     A word's cases are counted by what stands before it, so the copies of one document count once.
     A word is taken if toxic cases prevail (17 of 20) by more than chance would give any of many words,
     and if toxic texts of at least three kinds have it; texts with the same words are of one kind.
     """
-    base = min(0.5, max(0.01, sum(label for label, *_ in rows) / len(rows)))
     cases: dict[int, dict[int, int]] = {}
     kinds = Counter(w for words in {(*words, None, *before) for label, words, before in rows if label} for w in set(words[: words.index(None)]))
     for label, words, before in rows:
@@ -175,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fit on labels (doc_id, toxic). All words and prefixes that set toxic texts apart and the chains of at most `most` rows reach the driver."""
     labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
 
-    base = min(0.5, max(0.01, labelled.agg(F.avg("label")).collect()[0][0] or 0.0))
     seen = materialise(case_counts(labelled), "patterns")
+    cases = seen.filter("pattern not like '%*'").agg(F.sum("on"), F.sum("n")).collect()[0]  # of whole words
+    base = min(0.5, max(0.01, (cases[0] or 0) / (cases[1] or 1)))
     share, rest = F.col("on") / F.col("n"), F.greatest(1 - F.col("on") / F.col("n"), F.lit(1e-9))
     odds = F.col("n") * (share * F.log(F.greatest(share, F.lit(1e-9)) / base) + (1 - share) * F.log(rest / (1 - base)))
     likely = seen.filter((share >= SHARE) & (odds >= SURPRISE)).orderBy("pattern").collect()
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     rows = sorted((r["doc_id"], r["label"], list(r["words"]), list(r["before"]), list(r["chain"])) for r in labelled.mapInArrow(chains, "doc_id long, label int, words array<int>, before array<long>, chain array<int>").toLocalIterator())
     if not rows:
         raise ValueError("no labelled documents to learn from")
-    toxic = lexicon(list({r[0]: r[1:4] for r in rows}.values()))
+    toxic = lexicon(list({r[0]: r[1:4] for r in rows}.values()), base)
     used = sorted((r for r in rows if r[4]), key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))[:TRAIN_CHAINS]
     words = np.zeros((len(used), LESSON), np.int64)
     for i, r in enumerate(used):
