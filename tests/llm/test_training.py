@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from waymark.llm import quality, toxicity
+from waymark.llm import crf, quality, rules, toxicity
 
 
 def corpus(spark, clean: int, toxic: int, copies: int, text: str):
@@ -49,3 +49,21 @@ def test_whole_labelled_texts_are_learned(spark, monkeypatch):
     places, sums = got
     assert places == set(range(0, 30, 3)) and len(sums) == len(used)
     assert abs(np.sort(sums) - np.sort(list(used.values()))).max() < 1
+
+
+def test_long_texts_are_one_chain():
+    rng = np.random.default_rng(5)
+    moves = np.array([[1.5, -2.0], [-2.5, 1.0]])
+    lengths = [300, 0, 1, 129, 0, 128, 2]
+    word = [rng.integers(0, 3, n) for n in lengths]
+    field = toxicity.Model({"a": 1, "b": 2}, rng.normal(size=9), moves, np.zeros(3))
+    bins = [rng.integers(0, sum(rules.SIZES), (n, len(rules.EDGES))) for n in lengths]
+    lines = rules.Model(rng.normal(size=sum(rules.SIZES)), moves)
+    for w, on, b, states in zip(word, field.tag(word), bins, lines.mark(bins)):
+        n = len(w)
+        assert len(on) == len(states) == n
+        if n:
+            side = np.concatenate([[0], w, [0]])
+            emission = field.weight[side[1:-1]] + field.weight[3 + side[:-2]] + field.weight[6 + side[2:]]
+            assert np.allclose(on, crf.marginals(emission[None], np.array([n]), moves)[0][0])
+            assert (states == crf.viterbi(lines.weight[b].sum(1)[None], np.array([n]), moves)[0]).all()

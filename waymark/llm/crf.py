@@ -82,6 +82,52 @@ def fit(active: list[np.ndarray], state: np.ndarray, length: np.ndarray, size: i
     return weight, moves
 
 
+def order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of values that lie end to end: first value of each run, longest run first, and how many runs have a step t (down to 0)."""
+    by = np.argsort(-lengths, kind="stable")
+    steps = np.arange(lengths.max(initial=0) + 1)
+    return (np.cumsum(lengths) - lengths)[by], np.searchsorted(-lengths[by], -steps, side="left")
+
+
+def whole_marginals(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Probability of state 1 of each step; each run is one chain, however long. Only log odds are carried."""
+    first, alive = order(lengths)
+    ahead, back = np.zeros(len(emission)), np.zeros(len(emission))
+    turn = lambda x, m: np.logaddexp(m[0, 1], x + m[1, 1]) - np.logaddexp(m[0, 0], x + m[1, 0])
+    now = np.zeros(0)
+    for t in range(len(alive) - 1):
+        at = first[: alive[t]] + t
+        now = emission[at] + (turn(now[: alive[t]], moves) if t else 0.0)
+        ahead[at] = now
+    for t in range(len(alive) - 3, -1, -1):  # a run's last step has 0
+        at = first[: alive[t + 1]] + t
+        back[at] = turn(emission[at + 1] + back[at + 1], moves.T)
+    return np.exp(-np.logaddexp(0.0, -ahead - back))
+
+
+def whole_viterbi(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best state of each step; each run is one chain, however long. Ties go to state 0."""
+    first, alive = order(lengths)
+    came = np.zeros((len(emission), 2), np.int8)
+    lead, states = np.zeros(len(emission)), np.zeros(len(emission), np.int8)
+    now = np.zeros(0)
+    for t in range(len(alive) - 1):
+        at = first[: alive[t]] + t
+        if t:
+            zero, one = moves[0], now[: alive[t], None] + moves[1]
+            came[at] = one > zero
+            now = np.maximum(zero, one)
+            now = now[:, 1] - now[:, 0] + emission[at]
+        else:
+            now = emission[at]
+        lead[at] = now
+    for t in range(len(alive) - 2, -1, -1):
+        at, on = first[: alive[t]] + t, alive[t + 1]
+        states[at[on:]] = lead[at[on:]] > 0  # last steps
+        states[at[:on]] = came[at[:on] + 1, states[at[:on] + 1]]
+    return states
+
+
 def rectangle(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut runs of values that lie end to end into chains of at most `most` steps.
 

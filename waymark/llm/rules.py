@@ -19,7 +19,7 @@ from waymark.llm import crf
 from waymark.llm._common import rolling, slices, word_hashes
 from waymark.llm.quality import SYMBOLS, UPPER, training_rows
 
-#: Labelled documents that the field is fitted on at most; lines of a chain at most.
+#: Labelled documents that the field is fitted on at most; lines of a chain at most, in training.
 TRAIN_ROWS, CHAIN = 6_000, 64
 MIN_WORDS, MAX_REPEAT, CONTENT_SHARE = 50, 0.5, 0.5
 SPACE = b" \t\n\x0b\x0c\r"
@@ -87,13 +87,7 @@ class Model(NamedTuple):
         """States of the lines of each text: 1 content, 0 boilerplate."""
         lengths = np.array([len(b) for b in bins], np.int64)
         flat = np.concatenate([*bins, np.zeros((0, len(EDGES)), np.int64)])
-        owner, first, length = crf.rectangle(lengths, CHAIN)
-        states = np.zeros(len(flat), np.int8)
-        if len(owner):
-            inside = np.arange(CHAIN) < length[:, None]
-            cell = np.minimum(first[:, None] + np.arange(CHAIN), len(flat) - 1)
-            emission = self.weight[flat].sum(1)[cell]
-            states = crf.viterbi(emission, length, self.moves)[inside]
+        states = crf.whole_viterbi(self.weight[flat].sum(1), lengths, self.moves)
         return np.split(states, np.cumsum(lengths)[:-1])
 
 

@@ -25,8 +25,6 @@ from waymark.llm.quality import training_rows
 
 #: Labelled rows that the field is fitted on at most.
 TRAIN_ROWS = 20_000
-#: Tokens of a chain at most.
-CHAIN = 128
 #: Tokens of a chain in training.
 LESSON = 32
 #: Share of toxic cases, natural logarithm of the odds against chance, and different toxic texts that a toxic word needs.
@@ -78,37 +76,17 @@ class Model(NamedTuple):
         size = len(self.vocabulary) + 1
         lengths = np.array([len(x) for x in index], np.int64)
         flat = np.concatenate([*index, np.zeros(0, np.int64)]).astype(np.int64)
-        owner, first, length = crf.rectangle(lengths, CHAIN)
-        on = np.zeros(len(flat))
-        if len(owner):
-            cell = first[:, None] + np.arange(CHAIN)
-            inside = np.arange(CHAIN) < length[:, None]
-            words = np.where(inside, flat[np.minimum(cell, len(flat) - 1)], 0)
-            # chains without a word of the vocabulary differ by length alone: each length is worked out once
-            plain = ~words.any(1)
-            lead = np.flatnonzero(~plain)
-            lone, which = np.unique(length[plain], return_inverse=True)
-            todo = np.concatenate([words[lead], np.zeros((len(lone), CHAIN), np.int64)])
-            sizes = np.concatenate([length[lead], lone])
-            found = crf.marginals(self.emission(todo, size), sizes, self.moves)[0]
-            rows = np.empty(len(owner), np.int64)
-            rows[lead], rows[plain] = np.arange(len(lead)), len(lead) + which
-            on = found[rows][inside]
-        return np.split(on, np.cumsum(lengths)[:-1])
-
-    def emission(self, words: np.ndarray, size: int) -> np.ndarray:
-        return sum(self.weight[a] for a in neighbours(words, size))
+        ends = np.cumsum(lengths)
+        before, after = np.concatenate([[0], flat])[:-1], np.concatenate([flat, [0]])[1:]
+        before[(ends - lengths)[lengths > 0]] = after[ends[lengths > 0] - 1] = 0
+        emission = self.weight[flat] + self.weight[size + before] + self.weight[2 * size + after]
+        return np.split(crf.whole_marginals(emission, lengths, self.moves), ends[:-1])
 
     def score(self, on: list[np.ndarray]) -> np.ndarray:
         x = np.array([summary(p) for p in on]).reshape(-1, 3)
         return 1 / (1 + np.exp(-(x @ self.link)))
 
 
-def neighbours(words: np.ndarray, size: int) -> list[np.ndarray]:
-    none = np.zeros((len(words), 1), words.dtype)
-    return [words, size + np.hstack([none, words[:, :-1]]), 2 * size + np.hstack([words[:, 1:], none])]
-
-
 def summary(on: np.ndarray) -> tuple[float, float, float]:
     return 1.0, float(on.max(initial=0)), float(np.log1p(on[on > 0.05].sum()))
 
