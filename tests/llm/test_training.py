@@ -67,3 +67,13 @@ def test_long_texts_are_one_chain():
             emission = field.weight[side[1:-1]] + field.weight[3 + side[:-2]] + field.weight[6 + side[2:]]
             assert np.allclose(on, crf.marginals(emission[None], np.array([n]), moves)[0][0])
             assert (states == crf.viterbi(lines.weight[b].sum(1)[None], np.array([n]), moves)[0]).all()
+
+
+def test_all_lines_of_a_labelled_document_are_learned(spark, monkeypatch):
+    got, fit = [], rules.crf.fit
+    monkeypatch.setattr(rules.crf, "fit", lambda active, state, length, *a, **b: got.append(int(length.sum())) or fit(active, state, length, *a, **b))
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k} of {i}" for k in range(20 + 37 * i))) for i in range(12)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    rules.train(docs, labels)
+    used = quality.training_rows(docs, labels, "quality", 6_000).collect()
+    assert max(r["doc_id"] for r in used) > 4 and got == [sum(20 + 37 * r["doc_id"] for r in used)]

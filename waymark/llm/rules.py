@@ -92,22 +92,22 @@ class Model(NamedTuple):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on labels (doc_id, quality); the lines of at most `most` documents, one chain each, reach the driver as bins."""
+    """Fit on labels (doc_id, quality); all lines of at most `most` documents, in chains of CHAIN lines, reach the driver as bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_features((t or "").encode("utf-8", "replace"))[0][:CHAIN].ravel() for t in batch.column("text").to_pylist()]
+            found = [line_features((t or "").encode("utf-8", "replace"))[0].ravel() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], names=["doc_id", "label", "bins"])
 
     rows = sorted((r["doc_id"], r["label"], list(r["bins"])) for r in training_rows(docs, labels, "quality", most).mapInArrow(run, "doc_id long, label int, bins array<int>").toLocalIterator())
     rows = [r for r in rows if r[2]]
     if not rows:
         raise ValueError("no labelled documents to learn from")
-    length = np.array([len(r[2]) // len(EDGES) for r in rows])
-    cells = np.zeros((len(rows), CHAIN, len(EDGES)), np.int64)
-    for i, r in enumerate(rows):
-        cells[i, : length[i]] = np.array(r[2]).reshape(-1, len(EDGES))
-    state = np.repeat(np.array([[float(r[1])] for r in rows]), CHAIN, 1)
+    lines = np.array([len(r[2]) // len(EDGES) for r in rows])
+    flat = np.concatenate([np.array(r[2], np.int64) for r in rows]).reshape(-1, len(EDGES))
+    owner, first, length = crf.rectangle(lines, CHAIN)
+    cells = flat[np.minimum(first[:, None] + np.arange(CHAIN), len(flat) - 1)]
+    state = np.repeat(np.array([float(r[1]) for r in rows])[owner][:, None], CHAIN, 1)
     weight, moves = crf.fit([cells[:, :, k] for k in range(len(EDGES))], state, length, sum(SIZES), rounds=40)
     return Model(weight, moves)
 
