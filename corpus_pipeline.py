@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes a
 stage's documents to the shared folder before the next one reads them. All but the last stage
-return the columns of `documents`. Models are fitted on the labelled documents that reach a stage.
+return the columns of `documents`. Models are fitted on the labelled documents that reach a stage;
+if none does, the first two stages keep all that they get.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from waymark.llm._common import materialise, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score of 0.3 or more)."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.learned(quality, docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, threshold=0.3).filter("predicted = 1").select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored as toxic (score below 0.5)."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.learned(toxicity, docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, threshold=0.5).filter("predicted = 0").select(*docs.columns)
 
 

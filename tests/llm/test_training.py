@@ -1,8 +1,11 @@
 """What the toxicity field and the rules learn from: copies, whole texts, and nothing at all."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from waymark.llm import crf, quality, rules, toxicity
+from waymark.llm.queries import QUERIES
 
 
 def corpus(spark, clean: int, toxic: int, copies: int, text: str):
@@ -77,3 +80,19 @@ def test_all_lines_of_a_labelled_document_are_learned(spark, monkeypatch):
     rules.train(docs, labels)
     used = quality.training_rows(docs, labels, "quality", 6_000).collect()
     assert max(r["doc_id"] for r in used) > 4 and got == [sum(20 + 37 * r["doc_id"] for r in used)]
+
+
+def test_queries_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(i, None if i == 2 else " ".join(f"word{i}of{k}" for k in range(80)), "en") for i in range(6)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    labels = docs.selectExpr("doc_id", "0 as quality", "0 as toxic")
+    for n_docs, n_labels in ((6, 0), (0, 6), (0, 0)):
+        at = str(tmp_path / f"{n_docs}-{n_labels}")
+        docs.limit(n_docs).write.parquet(f"{at}/documents.parquet")
+        labels.limit(n_labels).write.parquet(f"{at}/labels.parquet")
+        q4, q5, q7 = (QUERIES[q](spark, at).collect() for q in ("op4_quality", "op5_toxicity", "op7_quality_rules"))
+        assert len(q4) == len(q5) == len(q7) == n_docs
+        assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in q4) and all(abs(r["score"] - 0.01) < 1e-9 and r["predicted"] == 0 for r in q5)
+        assert [r["kept"] for r in q7] == [r["n_words"] > 0 for r in q7]
+        packed = corpus_pipeline.run(spark, at)
+        assert packed.select("doc_id").distinct().count() <= n_docs and bool(packed.count()) == bool(n_docs)

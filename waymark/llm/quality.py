@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,26 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-total))
 
 
+class NothingToLearn(ValueError):
+    """No labelled document is left to learn from."""
+
+
+def neutral() -> AdditiveModel:
+    """The model of no labels: every text has a score of 0.5."""
+    model = AdditiveModel()
+    model.edges, model.tables, model.coarse = [np.zeros(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), []
+    model.base, model.pairs = 0.0, {}
+    return model
+
+
+def learned(operator: Any, docs: DataFrame, labels: DataFrame) -> Any:
+    """operator.train(docs, labels), or operator.neutral() where there is nothing to learn from."""
+    try:
+        return operator.train(docs, labels)
+    except NothingToLearn:
+        return operator.neutral()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -141,7 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on labels (doc_id, quality); only features and labels of at most `most` rows reach the driver."""
+    """Fit on labels (doc_id, quality); only features and labels of at most `most` rows reach the driver. Raises NothingToLearn if there is no such row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
 
     found = training_rows(docs, labels, "quality", most).mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
     if not len(found):
-        raise ValueError("no labelled documents to learn from")
+        raise NothingToLearn("no labelled documents to learn from")
     return AdditiveModel().fit(found[list(FEATURES)].to_numpy(), found["label"].to_numpy(float))
 
 

@@ -27,13 +27,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.learned(quality, docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, threshold=0.3).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.learned(toxicity, docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, threshold=0.5).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
@@ -46,7 +46,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = rules.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.learned(rules, docs, table(spark, sf_dir, "labels"))
     return rules.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

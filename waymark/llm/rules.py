@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import crf
 from waymark.llm._common import rolling, slices, word_hashes
-from waymark.llm.quality import SYMBOLS, UPPER, training_rows
+from waymark.llm.quality import SYMBOLS, UPPER, NothingToLearn, training_rows
 
 #: Labelled documents that the field is fitted on at most; lines of a chain at most, in training.
 TRAIN_ROWS, CHAIN = 6_000, 64
@@ -91,8 +91,13 @@ class Model(NamedTuple):
         return np.split(states, np.cumsum(lengths)[:-1])
 
 
+def neutral() -> Model:
+    """The model of no labels: every line is content."""
+    return Model(np.ones(sum(SIZES)), np.zeros((2, 2)))
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on labels (doc_id, quality); all lines of at most `most` documents, in chains of CHAIN lines, reach the driver as bins."""
+    """Fit on labels (doc_id, quality); all lines of at most `most` documents, in chains of CHAIN lines, reach the driver as bins. Raises NothingToLearn if none has a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     rows = sorted((r["doc_id"], r["label"], list(r["bins"])) for r in training_rows(docs, labels, "quality", most).mapInArrow(run, "doc_id long, label int, bins array<int>").toLocalIterator())
     rows = [r for r in rows if r[2]]
     if not rows:
-        raise ValueError("no labelled documents to learn from")
+        raise NothingToLearn("no labelled documents to learn from")
     lines = np.array([len(r[2]) // len(EDGES) for r in rows])
     flat = np.concatenate([np.array(r[2], np.int64) for r in rows]).reshape(-1, len(EDGES))
     owner, first, length = crf.rectangle(lines, CHAIN)

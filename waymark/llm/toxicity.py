@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import crf
 from waymark.llm._common import CACHE_ENTRIES, materialise, slices
-from waymark.llm.quality import training_rows
+from waymark.llm.quality import NothingToLearn, training_rows
 
 #: Labelled rows that the field is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -119,6 +119,11 @@ def lexicon(rows: list[tuple[int, list[int], list[int]]], base: float) -> set[in
     return chosen
 
 
+def neutral() -> Model:
+    """The model of no labels: no token is toxic, and every text has a score of 0.01."""
+    return Model({}, np.array([-20.0, 0.0, 0.0]), np.zeros((2, 2)), np.array([np.log(0.01 / 0.99), 0.0, 0.0]))
+
+
 def case_counts(labelled: DataFrame) -> DataFrame:
     """(pattern, on, n): the cases of every word and prefix of labelled texts, and the toxic ones among them.
 
@@ -156,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
     The field learns from pieces of LESSON tokens that know the tokens beside them; equal pieces
     with equal labels count once. The link learns from whole texts. All words and prefixes that set
-    toxic texts apart, the different pieces, and a summary of each text reach the driver.
+    toxic texts apart, the different pieces, and a summary of each text reach the driver. Raises
+    NothingToLearn if there is no labelled row.
     """
     labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
 
@@ -196,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
             profiles.add((r["label"], tuple(r["words"]), tuple(r["before"])))
         seen |= {(r["label"], *r["lessons"][i : i + LESSON + 3]) for i in range(0, len(r["lessons"]), LESSON + 3)}
     if not n_rows:
-        raise ValueError("no labelled documents to learn from")
+        raise NothingToLearn("no labelled documents to learn from")
     toxic = lexicon(sorted(profiles), base)
     used = np.array(sorted(seen), np.int64).reshape(-1, LESSON + 4)
     label, length, words = used[:, 0], used[:, 1], used[:, 2:]
