@@ -29,6 +29,8 @@ TRAIN_ROWS = 20_000
 LESSON = 32
 #: Share of toxic cases, natural logarithm of the odds against chance, and different toxic texts that a toxic word needs.
 SHARE, SURPRISE, TEXTS = 0.85, 16.0, 3
+#: Text bytes whose cases a worker holds at once.
+CASE_BYTES = 1 << 20
 #: Letters that a prefix in the vocabulary may have.
 PREFIX = (3, 8)
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -133,19 +135,20 @@ def case_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=CASE_BYTES):
+                same: dict[bytes, bytes] = {}  # one object a token
                 raw: dict[tuple[bytes, bytes | None], int] = {}
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                    own = tokens(text)
+                    own = [same.setdefault(t, t) for t in tokens(text)]
                     for pair in set(zip(own, [None, *own])):
                         raw[pair] = min(raw.get(pair, 1), label)
-                word = {t: word_of(t) for t in {t for t, _ in raw}}
-                mark = {t: hash_of(t) if t is not None else 0 for t in {t for _, t in raw}}
+                word, mark = {t: word_of(t) for t in same}, {None: 0} | {t: hash_of(t) for t in same}
                 seen: dict[tuple[str, int], int] = {}
                 for (token, before), label in raw.items():
                     pair = word[token], mark[before]
                     if pair[0]:
                         seen[pair] = min(seen.get(pair, 1), label)
+                del raw
                 cells = [pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.int64()), pa.array(seen.values(), pa.int32())]
                 yield pa.RecordBatch.from_arrays(cells, names=["word", "before", "label"])
 
