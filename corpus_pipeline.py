@@ -54,7 +54,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Trained models and packing are not SQL; tests hold the stages against brute force.
+#: Trained models and packing are not SQL; tests hold the last three stages against brute force on their own input.
 ORACLE_SQL = None
 
 
