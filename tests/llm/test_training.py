@@ -38,22 +38,6 @@ def test_copies_leave_the_base_rate(spark):
     assert [said.first()["text"][s["start"] : s["end"]] for s in row["spans"]] == ["vilest"]
 
 
-def test_whole_labelled_texts_are_learned(spark, monkeypatch):
-    docs, labels, common = corpus(spark, 200, 20, 0, "")
-    rng = np.random.default_rng(4)
-    piece = lambda k: rng.choice(common, 32).tolist()[: 3 * k] + ["vilest"] + rng.choice(common, 32).tolist()[3 * k + 1 :]
-    docs = docs.union(spark.createDataFrame([(1000 + i, " ".join(w for k in range(10) for w in piece(k))) for i in range(10)], docs.schema))
-    labels = labels.union(spark.createDataFrame([(1000 + i, 1) for i in range(10)], labels.schema))
-    got, fit, link = [], toxicity.crf.fit, toxicity.logistic
-    monkeypatch.setattr(toxicity.crf, "fit", lambda active, state, *a, **b: got.append(set(np.nonzero(state)[1].tolist())) or fit(active, state, *a, **b))
-    monkeypatch.setattr(toxicity, "logistic", lambda x, y: got.append(np.expm1(x[:, 2])) or link(x, y))
-    toxicity.train(docs, labels)
-    used = {r["doc_id"]: r["text"].split().count("vilest") for r in quality.training_rows(docs, labels, "toxic", 20_000).collect()}
-    places, sums = got
-    assert places == set(range(0, 30, 3)) and len(sums) == len(used)
-    assert abs(np.sort(sums) - np.sort(list(used.values()))).max() < 1
-
-
 def test_long_texts_are_one_chain():
     rng = np.random.default_rng(5)
     moves = np.array([[1.5, -2.0], [-2.5, 1.0]])

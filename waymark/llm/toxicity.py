@@ -23,8 +23,8 @@ from waymark.llm import crf
 from waymark.llm._common import CACHE_ENTRIES, materialise, slices
 from waymark.llm.quality import NothingToLearn, training_rows
 
-#: Labelled rows that the field is fitted on at most.
-TRAIN_ROWS = 20_000
+#: Labelled rows that the field is fitted on at most, and chains among them.
+TRAIN_ROWS, TRAIN_CHAINS = 20_000, 12_000
 #: Tokens of a chain in training.
 LESSON = 32
 #: Share of toxic cases, natural logarithm of the odds against chance, and different toxic texts that a toxic word needs.
@@ -89,6 +89,11 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-(x @ self.link)))
 
 
+def neighbours(words: np.ndarray, size: int) -> list[np.ndarray]:
+    none = np.zeros((len(words), 1), words.dtype)
+    return [words, size + np.hstack([none, words[:, :-1]]), 2 * size + np.hstack([words[:, 1:], none])]
+
+
 def summary(on: np.ndarray) -> tuple[float, float, float]:
     return 1.0, float(on.max(initial=0)), float(np.log1p(on[on > 0.05].sum()))
 
@@ -160,12 +165,10 @@ def case_counts(labelled: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on labels (doc_id, toxic) of at most `most` rows, with every token of their texts.
+    """Fit on labels (doc_id, toxic) of at most `most` rows; raises NothingToLearn if there is none.
 
-    The field learns from pieces of LESSON tokens that know the tokens beside them; equal pieces
-    with equal labels count once. The link learns from whole texts. All words and prefixes that set
-    toxic texts apart, the different pieces, and a summary of each text reach the driver. Raises
-    NothingToLearn if there is no labelled row.
+    The field and the link learn from up to four excerpts of LESSON tokens a text, TRAIN_CHAINS in
+    all. These and all words and prefixes that set toxic texts apart reach the driver.
     """
     labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
 
@@ -178,52 +181,39 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     vocabulary = {r["pattern"]: i for i, r in enumerate(likely, 1)}
     size = len(vocabulary) + 1
 
-    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Indices(vocabulary)
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                    own = tokens(text)
-                    found = [index[t] for t in own]
-                    hits = [i for i, w in enumerate(found) if w]
-                    where = {(found[i], hash_of(own[i - 1]) if i else 0) for i in hits}
-                    words, before = zip(*sorted(where)) if where else ((), ())
-                    cells = [0, *found, *[0] * (LESSON + 1)]
-                    # lessons without a hit in them or beside them differ by length alone: the first and the last stand for all
-                    some = {k for i in hits for k in {max(0, i - 1) // LESSON, i // LESSON, min(i + 1, len(found) - 1) // LESSON}}
-                    plain = [k for k in range(-(-len(found) // LESSON)) if k not in some]
-                    own = {(min(LESSON, len(found) - k * LESSON), *cells[k * LESSON : k * LESSON + LESSON + 2]) for k in (*some, *plain[:1], *plain[-1:])}
-                    rows.append((label, words, before, [x for lesson in own for x in lesson]))
-                kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["label", "words", "before", "lessons"])
-
-    n_rows, profiles, seen = 0, set(), set()
-    for r in labelled.mapInArrow(lessons, "label int, words array<int>, before array<long>, lessons array<int>").toLocalIterator():
-        n_rows += 1
-        if r["words"]:
-            profiles.add((r["label"], tuple(r["words"]), tuple(r["before"])))
-        seen |= {(r["label"], *r["lessons"][i : i + LESSON + 3]) for i in range(0, len(r["lessons"]), LESSON + 3)}
-    if not n_rows:
+            rows = []
+            for doc, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                own = tokens(text)
+                found = [index[t] for t in own]
+                hits = [i for i, w in enumerate(found) if w]
+                where = {(found[i], hash_of(own[i - 1]) if i else 0) for i in hits}
+                words, before = zip(*sorted(where)) if where else ((), ())
+                some = [i // LESSON for i in hits]
+                for k in sorted({*some[:: max(1, len(some) // 4)]} or {0})[:4]:  # some chains with words of the vocabulary, or one without
+                    rows.append((doc, label, words, before, found[k * LESSON : (k + 1) * LESSON]))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "label", "words", "before", "chain"])
+
+    rows = sorted((r["doc_id"], r["label"], list(r["words"]), list(r["before"]), list(r["chain"])) for r in labelled.mapInArrow(chains, "doc_id long, label int, words array<int>, before array<long>, chain array<int>").toLocalIterator())
+    if not rows:
         raise NothingToLearn("no labelled documents to learn from")
-    toxic = lexicon(sorted(profiles), base)
-    used = np.array(sorted(seen), np.int64).reshape(-1, LESSON + 4)
-    label, length, words = used[:, 0], used[:, 1], used[:, 2:]
-    state = np.isin(words[:, 1:-1], list(toxic)) & (label == 1)[:, None]
-    active = [words[:, 1:-1], size + words[:, :-2], 2 * size + words[:, 2:]]
-    weight, moves = crf.fit(active, state.astype(float), length, 3 * size, rounds=120, offset=-4.0)
+    toxic = lexicon(list({r[0]: r[1:4] for r in rows}.values()), base)
+    used = sorted((r for r in rows if r[4]), key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))[:TRAIN_CHAINS]
+    words = np.zeros((len(used), LESSON), np.int64)
+    for i, r in enumerate(used):
+        words[i, : len(r[4])] = r[4]
+    label = np.array([r[1] for r in used])
+    state = np.isin(words, list(toxic)) & (label == 1)[:, None]
+    length = np.array([len(r[4]) for r in used])
+    weight, moves = crf.fit(neighbours(words, size), state.astype(float), length, 3 * size, rounds=120, offset=-4.0)
     weight[:size] -= 4.0  # the offset of every token, as a part of its word's weight
     model = Model(vocabulary, weight, moves, np.zeros(3))
-
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Indices(vocabulary)
-        for batch in batches:
-            for part in slices(batch):
-                x = np.array([summary(p) for p in model.tag(index.of(part.column("text").to_pylist()))]).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["label", "most", "total"])
-
-    found = np.array(sorted(map(tuple, labelled.select("text", "label").mapInArrow(summaries, "label int, most double, total double").toLocalIterator())), float)
-    return model._replace(link=logistic(np.column_stack([np.ones(len(found)), found[:, 1:]]), found[:, 0]))
+    x = np.array([summary(p) for p in model.tag([np.array(r[4], np.int64) for r in used])]).reshape(-1, 3)
+    return model._replace(link=logistic(x, label.astype(float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
