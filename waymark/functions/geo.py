@@ -105,23 +105,35 @@ def partition_id(lat, lon, diagonal_km) -> Column:
     return F.when(d < TIERS[0][1], ids[0]).when(d < TIERS[1][1], ids[1]).otherwise(ids[2])
 
 
+def _hilbert_tables() -> tuple[int, int]:
+    """Two bits by (state, x bit, y bit): the quarter's place on the curve, and the state within it.
+
+    A state tells whether the axes are swapped (1) and whether both run backwards (2).
+    """
+    place = follow = 0
+    for entry in range(16):
+        state, bits = entry >> 2, (entry >> 1 & 1, entry & 1)
+        x, y = (b ^ state >> 1 for b in (bits[::-1] if state & 1 else bits))
+        place |= (3 * x ^ y) << 2 * entry
+        follow |= (state ^ (0 if y else 1 + 2 * x)) << 2 * entry
+    return place, follow
+
+
 def hilbert_index(lat, lon) -> Column:
     """Number on the textbook Hilbert curve of order 12 over the fixed box; positions outside it are clamped."""
-    n = float((1 << HILBERT_ORDER) - 1)
-    cell = lambda v, lo, hi: F.least(F.greatest((col(v) - lo) / (hi - lo) * n, F.lit(0.0)), F.lit(n)).cast("long")
-    start = F.struct(cell(lon, *LON_RANGE).alias("x"), cell(lat, *LAT_RANGE).alias("y"), F.lit(0).cast("long").alias("d"))
-
-    def step(acc: Column, bit: Column) -> Column:
-        x, y = acc["x"], acc["y"]
-        rx = (x.bitwiseAND(bit) > 0).cast("long")
-        ry = (y.bitwiseAND(bit) > 0).cast("long")
-        d = acc["d"] + bit * bit * (3 * rx).bitwiseXOR(ry)
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, F.lit(int(n)) - x).otherwise(x), F.when(flip, F.lit(int(n)) - y).otherwise(y)
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.alias("d"))
-
-    bits = F.array(*[F.lit(1 << i).cast("long") for i in reversed(range(HILBERT_ORDER))])
-    return F.when(col(lat).isNotNull() & col(lon).isNotNull(), F.aggregate(bits, start, step, lambda acc: acc["d"]))
+    most = (1 << HILBERT_ORDER) - 1
+    cell = lambda v, lo, hi: F.least(F.greatest((col(v) - lo) / (hi - lo) * float(most), F.lit(0.0)), F.lit(float(most))).cast("long")
+    x, y = cell(lon, *LON_RANGE), cell(lat, *LAT_RANGE)
+    # The state of the curve at a bit is one of four turns of its first form, so the number is read off
+    # bit by bit from a table of (state, x bit, y bit): twelve steps of plain arithmetic, in generated code.
+    place, follow = _hilbert_tables()
+    state, number = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for shift in reversed(range(HILBERT_ORDER)):
+        bit = lambda v: F.shiftright(v, shift).bitwiseAND(F.lit(1).cast("long"))  # noqa: B023, E731
+        entry = (state * 8 + bit(x) * 4 + bit(y) * 2).cast("int")
+        pick = lambda table: F.call_function("shiftright", F.lit(table).cast("long"), entry).bitwiseAND(F.lit(3).cast("long"))  # noqa: B023, E731
+        number, state = number * 4 + pick(place), pick(follow)
+    return F.when(col(lat).isNotNull() & col(lon).isNotNull(), number)
 
 
 def breakage_distance(max_gap_m, cap: float) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from waymark.functions.geo import KMH_TO_MPS
 from waymark.operators import walk
 from waymark.schema import micros, require, require_doubles, require_time, span_micros
 
+GAP_SEGMENT = T.StructField("gap_segment_id", T.IntegerType())
 SEGMENT, STOP = T.StructField("segment_id", T.IntegerType()), T.StructField("is_stop", T.BooleanType())
 
 
@@ -34,11 +36,17 @@ def split_by_observation_gap(df: DataFrame, gap: timedelta, id_col: str = "id",
     return out.withColumn("_n", times).filter((F.col("_n") >= min_length) & F.col(id_col).isNotNull()).drop("_n")
 
 
-def _drop_short(df: DataFrame, id_col: str, time_col: str, min_length: int) -> DataFrame:
-    if min_length <= 0:
-        return df
-    times = F.count(F.when(~F.col("is_stop"), F.col(time_col))).over(Window.partitionBy(id_col, "segment_id"))
-    return df.withColumn("_n", times).filter(F.col("is_stop") | (F.col("_n") >= min_length)).drop("_n")
+def _split(tracks: walk.Tracks, lat: str, lon: str, diameter: float, duration: int, least: int, angle: float | None = None, distance: float = 0.0) -> walk.Marked:
+    """Stops and movements of tracks; movements of fewer than `least` times are dropped; then, with an angle, the traffic filter."""
+    stop = walk.stop_flags(tracks, walk.US, lat, lon, diameter, duration)
+    number = walk.numbers(tracks, walk.changes(stop))
+    stay = stop | (walk.times_in(tracks, walk.US, number) >= least)
+    number, stop = number[stay], stop[stay]
+    if angle is not None:
+        left = tracks.take(stay)
+        stop = walk.traffic_flags(left, stop, lat, lon, angle, distance)
+        number = walk.numbers(left, walk.changes(stop))
+    return stay, {"segment_id": number, "is_stop": stop}
 
 
 def split_by_stops(df: DataFrame, max_diameter: float, min_duration: timedelta, id_col: str = "id", time_col: str = "time", lat_col: str = "lat", lon_col: str = "lon", min_length: int = 0) -> DataFrame:
@@ -47,13 +55,8 @@ def split_by_stops(df: DataFrame, max_diameter: float, min_duration: timedelta,
     require_time(df, time_col)
     require_doubles(df, lat_col, lon_col)
     duration = span_micros(min_duration)
-
-    def flag(columns: dict[str, list]) -> dict[str, list]:
-        stop = walk.stop_flags(columns, max_diameter, duration)
-        return {"segment_id": walk.segment_numbers(stop), "is_stop": stop}
-
     base = walk.prepared(df.drop("segment_id", "is_stop"), id_col, time_col)
-    return _drop_short(walk.walk_flags(base, id_col, lat_col, lon_col, flag, [SEGMENT, STOP]), id_col, time_col, min_length)
+    return walk.walk_marks(base, id_col, [walk.US, lat_col, lon_col], lambda tracks: _split(tracks, lat_col, lon_col, max_diameter, duration, min_length), [SEGMENT, STOP])
 
 
 def filter_traffic_stops(df: DataFrame, max_angle_change: float = 30.0, min_distance: float = 10.0, id_col: str = "id", time_col: str = "time", lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
@@ -62,11 +65,11 @@ def filter_traffic_stops(df: DataFrame, max_angle_change: float = 30.0, min_dist
     require_time(df, time_col)
     require_doubles(df, lat_col, lon_col)
 
-    def flag(columns: dict[str, list]) -> dict[str, list]:
-        stop = walk.traffic_flags(columns, [bool(x) for x in columns["is_stop"]], max_angle_change, min_distance)
-        return {"segment_id": walk.segment_numbers(stop), "is_stop": stop}
+    def marks(tracks: walk.Tracks) -> walk.Marked:
+        stop = walk.traffic_flags(tracks, tracks.value["is_stop"].astype(bool), lat_col, lon_col, max_angle_change, min_distance)
+        return np.ones(tracks.n, bool), {"segment_id": walk.numbers(tracks, walk.changes(stop)), "is_stop": stop}
 
-    return walk.walk_flags(walk.prepared(df, id_col, time_col), id_col, lat_col, lon_col, flag, [SEGMENT, STOP])
+    return walk.walk_marks(walk.prepared(df, id_col, time_col), id_col, [lat_col, lon_col, "is_stop"], marks, [SEGMENT, STOP])
 
 
 def filter_stale_pings(df: DataFrame, window: int = 5, id_col: str = "id", time_col: str = "time", lat_col: str = "lat", lon_col: str = "lon", speed_col: str = "speed", heading_col: str = "heading") -> DataFrame:
@@ -77,7 +80,7 @@ def filter_stale_pings(df: DataFrame, window: int = 5, id_col: str = "id", time_
     if window <= 0:
         return df
     own = [lat_col, lon_col, speed_col, heading_col]
-    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, own, lambda: [(walk.Stale(window), own)])
+    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, own, [lambda tracks: walk.fresh(tracks, own, speed_col, window)])
 
 
 def filter_impossible_speeds(df: DataFrame, max_speed_kmh: float = 200.0, id_col: str = "id", time_col: str = "time", lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
@@ -86,47 +89,59 @@ def filter_impossible_speeds(df: DataFrame, max_speed_kmh: float = 200.0, id_col
     require_time(df, time_col)
     require_doubles(df, lat_col, lon_col)
     own = [walk.US, lat_col, lon_col]
-    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, own, lambda: [(walk.Speed(max_speed_kmh * KMH_TO_MPS), own)])
+    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, own, [lambda tracks: walk.possible(tracks, *own, max_speed_kmh * KMH_TO_MPS)])
+
+
+#: Columns that cleaning looks at.
+CLEANED = ["lat", "lon", "speed", "heading"]
+
+
+def _cleaning(stale_window: int | None, max_speed_kmh: float | None) -> list[walk.Step]:
+    steps: list[walk.Step] = []
+    if stale_window:
+        steps.append(lambda tracks: walk.fresh(tracks, CLEANED, "speed", stale_window))
+    if max_speed_kmh is not None:
+        steps.append(lambda tracks: walk.possible(tracks, walk.US, "lat", "lon", max_speed_kmh * KMH_TO_MPS))
+    return steps
 
 
 def clean(df: DataFrame, stale_window: int | None = 5, max_speed_kmh: float | None = 200.0, id_col: str = "id", time_col: str = "time") -> DataFrame:
     """Stale pings and impossible speeds dropped in one walk over one exchange; None leaves a filter out."""
     require(df, id_col)
     require_time(df, time_col)
-    require_doubles(df, "lat", "lon", "speed", "heading")
-    stale, fast = ["lat", "lon", "speed", "heading"], [walk.US, "lat", "lon"]
-
-    def make() -> list:
-        steps = [(walk.Stale(stale_window), stale)] if stale_window else []
-        return steps + ([(walk.Speed(max_speed_kmh * KMH_TO_MPS), fast)] if max_speed_kmh is not None else [])
-
-    if not make():
-        return df
-    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, [*stale, walk.US], make)
+    require_doubles(df, *CLEANED)
+    steps = _cleaning(stale_window, max_speed_kmh)
+    return walk.walk_filter(walk.prepared(df, id_col, time_col), id_col, [*CLEANED, walk.US], steps) if steps else df
 
 
 def split_stops_and_traffic(df: DataFrame, max_diameter: float, min_duration: timedelta, max_angle_change: float | None, min_distance: float, min_length: int, id_col: str = "id", time_col: str = "time") -> DataFrame:
     """split_by_stops, its min_length and filter_traffic_stops in one walk over one exchange."""
     duration = span_micros(min_duration)
+    base = walk.prepared(df.drop("segment_id", "is_stop"), id_col, time_col)
+    return walk.walk_marks(base, id_col, [walk.US, "lat", "lon"], lambda tracks: _split(tracks, "lat", "lon", max_diameter, duration, min_length, max_angle_change, min_distance), [SEGMENT, STOP])
 
-    def flag(columns: dict[str, list]) -> dict[str, list]:
-        stop = walk.stop_flags(columns, max_diameter, duration)
-        number = walk.segment_numbers(stop)
-        times: dict[int, int] = {}
-        for n, t in zip(number, columns["t"]):
-            times[n] = times.get(n, 0) + (t is not None)
-        stay = [i for i, n in enumerate(number) if stop[i] or times[n] >= min_length]
-        left = {c: [v[i] for i in stay] for c, v in columns.items()}
-        flags = [stop[i] for i in stay]
-        if max_angle_change is not None:
-            flags = walk.traffic_flags(left, flags, max_angle_change, min_distance)
-            number = walk.segment_numbers(flags)
-        else:
-            number = [number[i] for i in stay]
-        segment, is_stop = [None] * len(stop), [None] * len(stop)  # None: dropped
-        for i, n, f in zip(stay, number, flags):
-            segment[i], is_stop[i] = n, f
-        return {"segment_id": segment, "is_stop": is_stop}
 
-    base = walk.prepared(df.drop("segment_id", "is_stop"), id_col, time_col)
-    return walk.walk_flags(base, id_col, "lat", "lon", flag, [SEGMENT, STOP]).filter("segment_id is not null")
+def clean_and_split(df: DataFrame, gap: timedelta, max_diameter: float, min_duration: timedelta, max_angle_change: float | None, min_distance: float, min_length: int, stale_window: int | None, max_speed_kmh: float | None, id_col: str = "id", time_col: str = "time") -> DataFrame:
+    """clean, split_by_observation_gap, split_by_stops (both with min_length) and filter_traffic_stops in one walk over one exchange.
+
+    df with gap_segment_id, segment_id and is_stop.
+    """
+    require(df, id_col)
+    require_time(df, time_col)
+    require_doubles(df, *CLEANED)
+    silence, duration, cleaning = span_micros(gap), span_micros(min_duration), _cleaning(stale_window, max_speed_kmh)
+
+    def marks(tracks: walk.Tracks) -> walk.Marked:
+        at = np.arange(tracks.n)
+        for step in cleaning:
+            stay, _ = step(tracks)
+            at, tracks = at[stay], tracks.take(stay)
+        number = walk.numbers(tracks, walk.late(tracks, walk.US, silence))
+        if min_length > 0:
+            stay = (walk.times_in(tracks, walk.US, number) >= min_length) & tracks.named
+            at, number, tracks = at[stay], number[stay], tracks.take(stay)
+        stay, found = _split(tracks, "lat", "lon", max_diameter, duration, min_length, max_angle_change, min_distance)
+        return at[stay], found | {"gap_segment_id": number[stay]}
+
+    base = walk.prepared(df.drop("gap_segment_id", "segment_id", "is_stop"), id_col, time_col)
+    return walk.walk_marks(base, id_col, [walk.US, *CLEANED], marks, [GAP_SEGMENT, SEGMENT, STOP])

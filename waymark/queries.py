@@ -246,14 +246,13 @@ def filter_traffic_stops(p: DataFrame) -> DataFrame:
     return trajectory.filter_traffic_stops(trajectory.split_by_stops(p, DIAMETER, DURATION), 30.0, 10.0)
 
 
-CHAIN = (gap_cte("{src}", 43200), stops_cte("(SELECT * EXCLUDE (segment_id, late), segment_id AS gap_segment_id FROM gapped)", 250, 1800))
-
-
 def chain_sql(source: str, least: int) -> tuple[str, ...]:
-    return (CHAIN[0].format(src=source), CHAIN[1], short_cte("stopped", least, "long_enough"), traffic_cte("long_enough", 30, 10))
+    """Gap segments of at least `least` times, then stops, movements of at least as many times, and the traffic filter."""
+    gaps = "(SELECT * EXCLUDE (segment_id, late, n), segment_id AS gap_segment_id FROM (SELECT *, count(time) OVER (PARTITION BY id, segment_id) AS n FROM gapped) WHERE n >= {least} AND id IS NOT NULL)"
+    return gap_cte(source, 43200), stops_cte(gaps.format(least=least), 250, 1800), short_cte("stopped", least, "long_enough"), traffic_cte("long_enough", 30, 10)
 
 
-@query(sql(f"SELECT {ALL}, is_stop, CAST(dense_rank() OVER (ORDER BY gap_segment_id, segment_id) - 1 AS INTEGER) AS segment_id FROM true_stops", stale_cte("gps", 5), *chain_sql("fresh", 3)))
+@query(sql(f"SELECT {ALL}, gap_segment_id, is_stop, CAST(dense_rank() OVER (ORDER BY gap_segment_id * 1000000 + segment_id) AS INTEGER) AS segment_id FROM true_stops", stale_cte("gps", 5), *chain_sql("fresh", 3)))
 def split_trips(p: DataFrame) -> DataFrame:
     return trips.split_trips(p, GAP, DIAMETER, DURATION)
 
