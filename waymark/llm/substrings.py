@@ -1,10 +1,12 @@
 """Substring dedup by level-wise doubling of repeated windows.
 
-Level one has windows of half the final length. Of those inside a window of full length only the
-one with the smallest hash counts (its anchor): two equal windows have equal anchors, so nothing
-is missed and one window in a dozen is looked up. Anchors that stand in one document alone are no
-candidates; the others are extended to twice their length, the windows around them are looked up
-in turn, and each word of a window that also starts in a document of a smaller id is removed.
+Levels are window lengths, each at most twice the one before, up to the final length: 13, 25, 50.
+At a level, of the windows inside one of final length only the one with the smallest hash counts
+(its anchor): two equal final windows have equal anchors at all levels, so nothing is missed and
+one window in some twenty is looked up. Anchors that stand in one document alone end there; around
+the others, the anchors of the next level are looked up, and so on until no candidate survives or
+the final length is reached, where each word of a window that also starts in a document of a
+smaller id is removed.
 
 Tasks settle what repeats among their own texts first, so a passage of a third of all documents
 sends one record per block of texts, not one per document.
@@ -19,27 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import rolling, slices, word_hashes
+from waymark.llm._common import mix, rolling, slices, word_hashes
 
 #: Text bytes of a block whose repeats a task settles by itself.
 BLOCK_BYTES = 16 << 20
-ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("own", "<i8"), ("many", "?")])
+#: Words of the shortest windows that a level may have (shorter ones only where the final length asks for them).
+SHORTEST = 8
 RUN = np.dtype([("doc", "<i8"), ("own", "<i8"), ("start", "<i4"), ("count", "<i4")])
 SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
 
 
-def windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, hash) of each window of `width` words."""
-    half = width // 2
-    parts, reach = rolling(hashes, half), width - half + 1
+def levels(width: int) -> list[int]:
+    """Window lengths of the levels below the final one, shortest first."""
+    out = [-(-width // 2)]
+    while (half := -(-out[0] // 2)) >= SHORTEST:
+        out.insert(0, half)
+    return out
+
+
+def record(n: int) -> np.dtype:
+    """Anchors of a document at n levels, and whether each is known to stand in several."""
+    return np.dtype([("hash", "<u8", (n,)), ("doc", "<i8"), ("many", "?", (n,))])
+
+
+def anchors(hashes: np.ndarray, width: int, part: int) -> np.ndarray:
+    """Of each window of `width` words, the smallest hash of its windows of `part` words."""
+    parts, reach = rolling(hashes, part), width - part + 1
     if len(parts) < reach:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     least, w = parts, 1
     while 2 * w <= reach:
         least, w = np.minimum(least[:-w], least[w:]), 2 * w
     rest = reach - w
-    anchors = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    return anchors, rolling(hashes, width)
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,52 +86,87 @@ def split_by_doc(doc: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int, n
         yield int(doc[at[0]]), int(own[at[0]]), at
 
 
+def different(a: np.ndarray) -> np.ndarray:
+    """Indices of one of each distinct row of (windows x levels)."""
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]).any(1))[: len(a)])
+    key = a[at, 0]
+    for k in range(1, a.shape[1]):
+        key = mix(key) ^ a[at, k]
+    return at[np.unique(key, return_index=True)[1]]
+
+
+def several(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a value stands in more than one document."""
+    if not len(values):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, values))
+    first = np.append(True, values[order][1:] != values[order][:-1])
+    head = np.flatnonzero(first)
+    last = np.append(head[1:], len(order)) - 1
+    out = np.empty(len(values), bool)
+    out[order] = (doc[order][head] != doc[order][last])[np.cumsum(first) - 1]
+    return out
+
+
 def find_anchors(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Records of level one. With a bucket: anchors to look up; without: those known to repeat, by document."""
+    """Records of the first level. With a bucket: anchors to look up; without: those known to repeat at the last level, by document."""
+    parts = levels(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
-                parts = []
-                for doc, own, text in zip(*(block.column(c).to_pylist() for c in ("doc_id", "own", "text"))):
-                    found = np.unique(windows(word_hashes(words_of(text)), width)[0])
-                    a = np.empty(len(found), ANCHOR)
-                    a["hash"], a["doc"], a["own"], a["many"] = found, doc, own, False
-                    parts.append(a)
-                a = np.concatenate(parts)
-                a = a[np.argsort(a["hash"], kind="stable")]
-                values, first, times = np.unique(a["hash"], return_index=True, return_counts=True)
-                many = np.repeat(times > 1, times)
-                rows = [(None, doc, own, a["hash"][many][at].tobytes(), None) for doc, own, at in split_by_doc(a["doc"][many], a["own"][many])]
-                once = a[first]  # an anchor of several documents of the block is one record
-                once["many"] = times > 1
-                rows += [(b, None, None, once[at].tobytes(), None) for b, at in by_bucket(values, buckets)]
+                held = []
+                for doc, text in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text"))):
+                    hashes = word_hashes(words_of(text))
+                    found = np.stack([anchors(hashes, width, k) for k in parts], 1)
+                    found = found[different(found)]
+                    a = np.empty(len(found), record(len(parts)))
+                    a["hash"], a["doc"] = found, doc
+                    held.append(a)
+                a = np.concatenate(held)
+                for k in range(len(parts)):
+                    a["many"][:, k] = several(a["hash"][:, k], a["doc"])
+                known = a["many"][:, -1]
+                rows = [(None, doc, None, np.unique(a["hash"][known, -1][at]).tobytes(), None) for doc, _, at in split_by_doc(a["doc"][known], a["doc"][known])]
+                a = np.concatenate([a[~known], a[known][different(a["hash"][known])]])  # anchors of several documents of the block are one record
+                rows += [(b, None, None, a[at].tobytes(), None) for b, at in by_bucket(a["hash"][:, 0], buckets)]
                 if rows:
                     yield batch_of(rows, MAPPED_NAMES, MAPPED_KINDS)
 
     return docs.mapInArrow(run, MAPPED)
 
 
-def repeated_anchors(mapped: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, own, payload): anchors of a document that stand in another one too."""
+def survivors(mapped: DataFrame, width: int, buckets: int, level: int) -> DataFrame:
+    """Records whose anchor of this level stands in several documents, dealt by the next level's; after the last one: (doc_id, -, payload) of all anchors known to repeat."""
+    n = len(levels(width))
+    last = level == n - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             known = batch.filter(pa.array([b is None for b in batch.column("bucket").to_pylist()], pa.bool_()))
-            yield known.select(["doc_id", "own", "payload"])
-            held += [np.frombuffer(x, ANCHOR) for x, b in zip(batch.column("payload").to_pylist(), batch.column("bucket").to_pylist()) if b is not None]
+            yield known.select(["doc_id", "own", "payload"]) if last else known
+            held += [np.frombuffer(x, record(n)) for x, b in zip(batch.column("payload").to_pylist(), batch.column("bucket").to_pylist()) if b is not None]
         if not held:
             return
         a = np.concatenate(held)
-        a = a[np.argsort(a["hash"], kind="stable")]
-        _, which, times = np.unique(a["hash"], return_inverse=True, return_counts=True)
-        a = a[(times[which] > 1) & ~a["many"]]  # documents of "many" records are known
-        rows = [(doc, own, a["hash"][at].tobytes()) for doc, own, at in split_by_doc(a["doc"], a["own"])]
+        del held
+        order = np.argsort(a["hash"][:, level], kind="stable")
+        a = a[order]
+        here = a["hash"][:, level]
+        group = np.cumsum(np.append(False, here[1:] != here[:-1]))
+        a = a[several(here, a["doc"]) | (np.bincount(group, a["many"][:, level])[group] > 0)]
+        if last:
+            a = a[~a["many"][:, level]]  # documents of these are known
+            rows = [(doc, None, np.unique(a["hash"][at, level]).tobytes()) for doc, _, at in split_by_doc(a["doc"], a["doc"])]
+            names, kinds = ["doc_id", "own", "payload"], MAPPED_KINDS[1:4]
+        else:
+            rows = [(b, None, None, a[at].tobytes(), None) for b, at in by_bucket(a["hash"][:, level + 1], buckets)]
+            names, kinds = MAPPED_NAMES, MAPPED_KINDS
         if rows:
-            yield batch_of(rows, ["doc_id", "own", "payload"], MAPPED_KINDS[1:4])
+            yield batch_of(rows, names, kinds)
 
-    return deal(mapped, buckets).mapInArrow(run, FOUND)
+    return deal(mapped, buckets).mapInArrow(run, FOUND if last else MAPPED)
 
 
 def deal(mapped: DataFrame, buckets: int) -> DataFrame:
@@ -156,16 +205,17 @@ def earlier(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def find_windows(joined: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Records of level two, from texts with their repeated anchors."""
+    """Records of the final length, from texts with their repeated anchors of the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
                 parts = []
                 for doc, own, text, known in zip(*(block.column(c).to_pylist() for c in ("doc_id", "own", "text", "anchors"))):
-                    anchors, hashes = windows(word_hashes(words_of(text)), width)
-                    at = np.flatnonzero(np.isin(anchors, np.frombuffer(b"".join(known), "<u8")))
-                    parts.append((np.full(len(at), doc), np.full(len(at), own), at, anchors[at], hashes[at]))
+                    words = word_hashes(words_of(text))
+                    near = anchors(words, width, levels(width)[-1])
+                    at = np.flatnonzero(np.isin(near, np.frombuffer(b"".join(known), "<u8")))
+                    parts.append((np.full(len(at), doc), np.full(len(at), own), at, near[at], rolling(words, width)[at]))
                 doc, own, at, anchor, hashes = map(np.concatenate, zip(*parts))
                 gone = earlier(hashes, doc)
                 rows = [(None, d, o, s, None) for d, o, s in spans_by_doc(doc[gone], own[gone], at[gone], width)]
@@ -223,11 +273,12 @@ def dedup(df: DataFrame, width: int = 50) -> DataFrame:
     docs = df.drop("n_words", "n_removed", "kept_text").withColumn("_own", F.xxhash64("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_own").alias("own"), "text").filter("doc_id is not null and text is not null")
 
-    def gathered(found: DataFrame, name: str) -> DataFrame:
-        return found.groupBy("doc_id", "own").agg(F.collect_list("payload").alias(name))
-
-    anchors = gathered(repeated_anchors(find_anchors(texts, width, buckets), buckets), "anchors")
-    spans = gathered(removed_spans(find_windows(texts.join(anchors, ["doc_id", "own"]), width, buckets), width, buckets), "_spans")
+    found = find_anchors(texts, width, buckets)
+    for level in range(len(levels(width))):
+        found = survivors(found, width, buckets, level)
+    known = found.groupBy("doc_id").agg(F.collect_list("payload").alias("anchors"))
+    cut = removed_spans(find_windows(texts.join(known, "doc_id").select("doc_id", "own", "text", "anchors"), width, buckets), width, buckets)
+    spans = cut.groupBy("doc_id", "own").agg(F.collect_list("payload").alias("_spans"))
     spans = spans.select("doc_id", F.col("own").alias("_own"), "_spans")
     out = docs.join(spans, ["doc_id", "_own"], "left").select(*docs.columns, "_spans").drop("_own")
     kept = [c for c in out.columns if c != "_spans"]
