@@ -9,9 +9,8 @@ rank among the pieces of their length, which is counted in salted groups.
 
 from __future__ import annotations
 
-import math
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -21,9 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm._common import materialise, slices
-from waymark.llm.tokens import encoder
+from waymark.llm.tokens import BLOCK_BYTES, encoder
 
-Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times), ...), sequences
+Filling = tuple[tuple[int, int], ...]  # (length, times) of the pieces of one sequence
+Plan = list[tuple[Filling, int]]  # fillings, and how many sequences have them
+
+#: Steps (partial fillings, pieces of fillings that are judged, lengths whose sums are taken) of a search, at most, to improve on best fit or to prove that it cannot.
+EFFORT = 500_000
+#: Shortest lengths whose sums are worked out at each node, so that fillings of them meet no dead end (more cost time, not results).
+LOOKED = 128
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
@@ -70,92 +75,180 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: by total, and (Martello and Toth) by pieces too large to share."""
-    best = -(-sum(k * n for k, n in counts.items()) // capacity)
-    lengths = sorted(counts)
-    for least in [1, *(k for k in lengths if 2 * k <= capacity)]:
-        large = sum(n for k, n in counts.items() if k > capacity - least)
-        middle = [(k, n) for k, n in counts.items() if capacity - least >= k > capacity / 2]
-        small = sum(k * n for k, n in counts.items() if capacity / 2 >= k >= least)
-        room = sum((capacity - k) * n for k, n in middle)
-        best = max(best, large + sum(n for _, n in middle) + max(0, -(-(small - room) // capacity)))
-    return best
-
-
-def completions(counts: dict[int, int], lengths: list[int], room: int, waste: int, most: int, steps: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` that waste at most `waste`, least waste first.
-
-    A filling is dominated if one of its pieces, or two of them, could give way to one larger
-    remaining piece. At most `most` fillings are returned and `steps` partial ones looked at.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def dominated(items: tuple[int, ...], slack: int) -> bool:
-        have = Counter(items)
-        sums = {(x,): x for x in items} | {(items[i], items[j]): items[i] + items[j] for i in range(len(items)) for j in range(i)}
-        for who, total in sums.items():
-            i = bisect_right(lengths, total + slack)
-            while i and lengths[i - 1] >= total + (len(who) == 1):
-                i -= 1
-                if counts[lengths[i]] > have[lengths[i]]:
-                    return True
-        return False
-
-    stack = [((), room, bisect_right(lengths, room))]
-    while stack and steps and len(found) < most:
-        steps -= 1
-        items, left, upto = stack.pop()
-        upto = min(upto, bisect_right(lengths, left))
-        while upto and counts[lengths[upto - 1]] <= items.count(lengths[upto - 1]):
-            upto -= 1
-        if not upto:
-            if left <= waste and not dominated(items, left):
-                found.append((left, items))
-            continue
-        stack.append((items, left, upto - 1))  # without any more of this length
-        stack.append(((*items, lengths[upto - 1]), left - lengths[upto - 1], upto))
-    return [items for _, items in sorted(found, key=lambda x: (x[0], tuple(-k for k in x[1])))]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> Plan:
+    lengths = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in lengths.tolist()], np.int64)
+    many, size = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * lengths))
+    half = np.searchsorted(lengths, capacity // 2, side="right")
+    least = np.append(1, lengths[:half])  # pieces below this size are left out
+    shared = np.searchsorted(lengths, capacity - least, side="right")
+    small = size[half] - size[np.searchsorted(lengths, least)]
+    room = capacity * (many[shared] - many[half]) - (size[shared] - size[half])
+    by_size = many[-1] - many[half] + np.maximum(0, -((room - small) // capacity))
+    return max(-(-int(size[-1]) // capacity), int(by_size.max()))
+
+
+class Spent(Exception):
+    """The search has taken all steps it may."""
+
+
+def spread(bits: int, far: int) -> int:
+    """The set bits, and all that lie above one of them by at most `far`."""
+    reach = 0
+    while reach < far:
+        step = min(reach + 1, far - reach)
+        bits |= bits << step
+        reach += step
+    return bits
+
+
+class Remaining:
+    """Pieces that are not placed yet: how many of each length, the lengths in order, and the same as a bit set."""
+
+    def __init__(self, counts: dict[int, int], effort: int | None):
+        self.count = dict(counts)
+        self.lengths = sorted(counts)
+        self.bits = sum(1 << k for k in counts)
+        self.effort = effort
+
+    def take(self, filling: Filling, times: int) -> None:
+        """Place (or, with negative times, take back) sequences of this filling."""
+        for k, m in filling:
+            before, self.count[k] = self.count[k], self.count[k] - m * times
+            if not self.count[k]:
+                self.lengths.pop(bisect_left(self.lengths, k))
+                self.bits ^= 1 << k
+            elif not before:
+                insort(self.lengths, k)
+                self.bits ^= 1 << k
+
+    def step(self, n: int) -> None:
+        if self.effort is not None:
+            self.effort -= n
+            if self.effort < 0:
+                raise Spent
+
+    def sums(self, most: int) -> list[int]:
+        """Bit sets of the sums, up to `most`, that the first i lengths give, for i up to LOOKED."""
+        out = [1]
+        self.step(len(self.lengths[:LOOKED]))
+        for k in self.lengths[:LOOKED]:
+            bits, some, step = out[-1], min(self.count[k], most // k), 1
+            while some:
+                step = min(step, some)
+                bits |= bits << step * k
+                some, step = some - step, 2 * step
+            out.append(bits & ((2 << most) - 1))
+        return out
+
+    def exactly(self, target: int, upto: int, sums: list[int]) -> Iterator[Filling]:
+        """Fillings of sum `target` by the first `upto` lengths, largest pieces first."""
+        if not target:
+            yield ()
+            return
+        for i in range(bisect_right(self.lengths, target, 0, upto) - 1, -1, -1):
+            if i + 1 < len(sums) and not sums[i + 1] >> target & 1:
+                return
+            k = self.lengths[i]
+            for m in range(min(self.count[k], target // k), 0, -1):
+                self.step(1)
+                left = target - m * k
+                if i >= len(sums) or sums[i] >> left & 1:
+                    for rest in self.exactly(left, i, sums):
+                        yield ((k, m), *rest)
+
+    def dominated(self, filling: Filling, slack: int) -> bool:
+        """Whether some pieces of a filling could give way to one larger (or, of several, equal) piece outside it."""
+        self.step(sum(m for _, m in filling))
+        outside = self.bits
+        one = several = 0  # sums of one piece, of two and more
+        for k, m in filling:
+            if self.count[k] == m:
+                outside ^= 1 << k
+            for _ in range(m):
+                several |= several << k | one << k
+                one |= 1 << k
+        return bool(outside & (spread(several, slack) | (spread(one << 1, slack - 1) if slack else 0)))
+
+    def completions(self, room: int, waste: int) -> Iterator[tuple[Filling, int]]:
+        """Undominated (filling, slack) of `room` that waste at most `waste`, least waste first, one at a time."""
+        sums = self.sums(room)
+        for slack in range(min(waste, room) + 1):
+            for filling in self.exactly(room - slack, len(self.lengths), sums):
+                if not self.dominated(filling, slack):
+                    yield filling, slack
+
+
+def bin_completion(counts: dict[int, int], capacity: int, effort: int | None = EFFORT) -> Plan:
     """As few sequences as found: branch and bound around the largest remaining piece.
 
-    The incumbent starts as the best-fit packing. A node fills the sequence of the largest piece
-    by one undominated completion, for as many sequences as the counts allow; it is given up when
-    what it has wasted leaves no way to beat the incumbent. The search ends at the lower bound or
-    after `nodes` nodes (a documented effort limit; every piece is placed in any case).
+    The incumbent starts as the best-fit packing. A node fills the sequence of the largest piece by
+    an undominated completion, first for as many sequences as the counts allow and later for fewer.
+    A branch is given up when its waste leaves no way to beat the incumbent; where nothing fits any
+    more, best fit places the rest, which may give a new incumbent. A descent uses up a length at
+    every node, so it has at most `capacity` nodes whatever the corpus. The search ends when the
+    lower bound is met or all branches are pruned. Bin packing being NP-hard, that may take forever
+    on odd cases: after `effort` steps (None: no limit) the incumbent is returned as it is.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, total)]
-    while stack and fewest > bound and nodes > 0:
-        left, plan, used, rest = stack.pop()
-        nodes -= 1
-        if used + -(-rest // capacity) >= fewest:
-            continue
-        if not left:
-            best, fewest = plan, used
-            continue
-        tail = best_fit(left, capacity)  # best fit from here on may already beat the incumbent
-        if (n := used + sum(m for _, m in tail)) < fewest:
-            best, fewest = plan + tail, n
-        waste = (fewest - 1 - used) * capacity - rest
-        lengths = sorted(left)
-        first = lengths[-1]
-        minus = {**left, first: left[first] - 1}
-        branches = []
-        for items in completions(minus, lengths, capacity - first, waste, 8, 400):
-            need = Counter((first, *items))
-            times = min(left[k] // n for k, n in need.items())
-            slack = capacity - sum(k * n for k, n in need.items())
-            if slack:
-                times = max(1, min(times, waste // slack))
-            after = {k: m for k, n in left.items() if (m := n - times * need.get(k, 0))}
-            branches.append((after, [*plan, (tuple(need.items()), times)], used + times, rest - times * (capacity - slack)))
-        stack.extend(reversed(branches))
+    if fewest == bound:
+        return best
+    spare = -sum(k * n for k, n in counts.items())  # what beating the incumbent leaves to waste, less (fewest - 1) sequences
+    left = Remaining(counts, effort)
+    plan: Plan = []
+    wasted = 0
+
+    def branches() -> Iterator[tuple[Filling, int, int]]:
+        first = left.lengths[-1]
+        left.take(((first, 1),), 1)
+        found = left.completions(capacity - first, (fewest - 1) * capacity + spare - wasted)
+        while True:
+            filling, slack = next(found, (None, 0))
+            left.take(((first, 1),), -1)
+            if filling is None:
+                return
+            whole = ((first, filling[0][1] + 1), *filling[1:]) if filling and filling[0][0] == first else ((first, 1), *filling)
+            times = min(left.count[k] // m for k, m in whole)
+            while times:
+                if wasted + slack * times <= (fewest - 1) * capacity + spare:
+                    yield whole, times, slack
+                times //= 2
+            left.take(((first, 1),), 1)
+
+    stack: list[list] = [[branches(), None, False]]  # untried branches, the one taken, whether there was any
+    try:
+        while stack:
+            here = stack[-1]
+            if here[1]:
+                filling, times, slack = here[1]
+                left.take(filling, -times)
+                wasted -= slack * times
+                plan.pop()
+            here[1] = next(here[0], None)
+            if here[1] is None:
+                if not here[2]:  # nothing fits: best fit for the rest
+                    left.step(32 * len(left.lengths))
+                    tail = best_fit({k: left.count[k] for k in left.lengths}, capacity)
+                    if (n := sum(m for _, m in plan) + sum(m for _, m in tail)) < fewest:
+                        best, fewest = plan + tail, n
+                stack.pop()
+            else:
+                filling, times, slack = here[1]
+                here[2] = True
+                left.take(filling, times)
+                wasted += slack * times
+                plan.append((filling, times))
+                if left.lengths:
+                    stack.append([branches(), None, False])
+                elif (n := sum(m for _, m in plan)) < fewest:
+                    best, fewest = list(plan), n
+            if fewest == bound:
+                break
+    except Spent:
+        pass
     return best
 
 
@@ -168,7 +261,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = encoder(tokenizer), np.array([end_id], "<u4"), 4 * capacity
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=BLOCK_BYTES):
                 rows = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()])):
                     raw = np.concatenate([ids, end]).tobytes()
