@@ -5,6 +5,7 @@ import pytest
 
 from waymark.plans import layout
 from waymark.sources import readers
+from waymark.sources.files import Files
 
 
 def write(spark, root, tier, pid, n, files=1, base=0):
@@ -14,7 +15,7 @@ def write(spark, root, tier, pid, n, files=1, base=0):
 
 
 def sizes(spark, root, tier):
-    return {p.name: spark.read.parquet(str(p)).count() for p in layout.partition_dirs(root) if p.parent.name == f"tier={tier}"}
+    return {p.rsplit("/", 1)[1]: spark.read.parquet(p).count() for p in layout.partition_dirs(Files(spark, root), root) if f"/tier={tier}/" in p}
 
 
 def test_planner():
@@ -54,6 +55,32 @@ def test_compact_keeps_everything(spark, tmp_path):
     assert layout.compact_partitions(spark, root) == 0
 
 
+def test_compaction_that_broke_off(spark, tmp_path):
+    root = str(tmp_path)
+    write(spark, root, "local", 1, 90, files=3)
+    folder = tmp_path / "tier=local" / "partition_id=1"
+    old = folder / "_compact.old"
+    old.mkdir()
+    for p in sorted(folder.glob("part-*.parquet"))[:2]:  # broke off while originals were moved aside
+        p.rename(old / f"{p.name}.old")
+    assert layout.compact_partitions(spark, root) == 1
+    got = [r[0] for r in spark.read.parquet(str(folder)).select("hilbert_idx").collect()]
+    assert got == list(range(90)) and [p.name for p in folder.rglob("*.parquet*") if not p.name.startswith(".")] == ["data.parquet"]
+    assert layout.parquet_rows(spark, str(folder)) == 90
+
+
+def test_write_trips(spark, tmp_path):
+    at = lambda i: {"time": datetime(2024, 1, 1, 0, i), "lat": 43.0 + i * 0.01, "lon": -79.0, "speed": 1.26, "heading": 90.04}
+    assert layout.write_trips_partitioned([{"id": "a", "points": [at(0), at(1)]}, {"id": "b", "points": [at(2)]}], str(tmp_path / "out"), spark) == {"local": 1}
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("time").collect()
+    assert [(r["id"], r["speed"], r["heading"]) for r in got] == [("a", 1.3, 90.0), ("a", 1.3, 90.0), ("b", 1.3, 90.0)]
+
+
+def test_union_relaxed(spark):
+    a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3.5,)], "x double")
+    assert sorted(map(tuple, readers.union_relaxed([a, b]).collect()), key=str) == [(1.0, 2), (3.5, None)]
+
+
 def test_partition_round_trip(spark, tmp_path):
     rows = [(t, datetime(2024, 1, 1, 0, i), 43.0 + i * 0.01, -79.0, 1.0, 1.0) for t in ("a", "b") for i in range(5)]
     df = spark.createDataFrame(rows, "id string, time timestamp_ntz, lat double, lon double, speed double, heading double")

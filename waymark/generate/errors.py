@@ -11,7 +11,8 @@ from random import Random
 
 from waymark.functions.geo import METERS_PER_DEGREE
 from waymark.generate.models import STEP_S, ErrorConfig, TracePoint
-from waymark.operators.walk import bearing_of, haversine
+from waymark.operators.walk import bearing_of
+from waymark.operators.walk import metres as haversine
 
 Points = list[TracePoint]
 GPS: dict[str, Callable] = {}

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import MPS_TO_MPH
 from waymark.generate.errors import apply_errors, moved
 from waymark.generate.models import STEP_S, RouteSegment, TracePoint, TripConfig, default_error_profile
-from waymark.operators.walk import bearing_of, haversine
+from waymark.operators.walk import bearing_of
+from waymark.operators.walk import metres as haversine
 from waymark.schema import PING
 
 Route = Callable[[tuple[float, float], tuple[float, float]], list[RouteSegment]]

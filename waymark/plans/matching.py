@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from waymark.operators import quality
 from waymark.operators.segments import MAX_DIST_M, MIN_DIST_M, TIME_S
-from waymark.operators.walk import bearing_of, haversine
+from waymark.operators.walk import bearing_of
+from waymark.operators.walk import metres as haversine
 from waymark.schema import require
 
 Point = tuple[float, float]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from datetime import date, datetime, timedelta, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from waymark.functions import geo, ids
 from waymark.schema import require
+from waymark.sources.files import Files
 
 INDEX_FILE, INDEX_VERSION, KEY_LENGTH = ".chunk_index.json", 2, 3
 
@@ -136,19 +136,19 @@ class ChunkIndex:
 
     @classmethod
     def build(cls, spark: SparkSession, root: str) -> ChunkIndex:
-        base = Path(root).resolve()
+        plain = lambda p: re.sub("^file:/+", "/", p)
+        base = plain(Files(spark, root).qualified(root)).rstrip("/") + "/"
         rows = chunk_files(spark.read.parquet(root)).collect()  # a row per key, as many as three characters allow
-        local = lambda p: str(Path(re.sub("^file:/+", "/", p)).relative_to(base))
-        return cls(root, {r["chunk_id"]: sorted(map(local, r["paths"])) for r in rows})
+        return cls(root, {r["chunk_id"]: sorted(plain(p).removeprefix(base) for p in r["paths"]) for r in rows})
 
-    def save(self) -> Path:
-        path = Path(self.root) / INDEX_FILE
-        path.write_text(json.dumps({"version": INDEX_VERSION, "chunk_id_len": KEY_LENGTH, "index": self.index}))
+    def save(self) -> str:
+        path = f"{self.root}/{INDEX_FILE}"
+        Files(SparkSession.active(), self.root).write_text(path, json.dumps({"version": INDEX_VERSION, "chunk_id_len": KEY_LENGTH, "index": self.index}))
         return path
 
     @classmethod
     def load(cls, root: str) -> ChunkIndex:
-        data = json.loads((Path(root) / INDEX_FILE).read_text())
+        data = json.loads(Files(SparkSession.active(), root).read_text(f"{root}/{INDEX_FILE}"))
         if not isinstance(data, dict) or "version" not in data:
             raise ValueError("an index of an old form; build it again")
         if data.get("chunk_id_len") != KEY_LENGTH:
@@ -190,3 +190,11 @@ def traces_to_csv(df: DataFrame, out: str) -> None:
 
 def traces_to_parquet(df: DataFrame, out: str) -> int:
     return to_file(df.withColumns({"speed": F.round("speed", 1), "heading": F.round("heading", 1)}), out)
+
+
+def union_relaxed(frames: list[DataFrame]) -> DataFrame:
+    """UNION ALL by name: columns that a frame lacks are null in it, and numeric types are widened."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waymark.functions.geo import KMH_TO_MPS
-from waymark.operators.walk import Speed, Stale
+from waymark.operators import walk
 
 
 def gap_segments(stream: DataFrame, gap: timedelta, delay: timedelta, id_col: str = "id", time_col: str = "time") -> DataFrame:
@@ -22,6 +23,28 @@ def gap_segments(stream: DataFrame, gap: timedelta, delay: timedelta, id_col: st
     return found.drop("session_window")
 
 
+COLUMNS = ["time", "lat", "lon", "speed", "heading"]
+
+
+def tracks_of(rows: pd.DataFrame) -> walk.Tracks:
+    """Rows of one vehicle; times in microseconds."""
+    known = {c: rows[c].notna().to_numpy() for c in COLUMNS}
+    value = {c: rows[c].fillna(0).to_numpy(float) for c in COLUMNS[1:]}
+    value["time"] = pd.to_datetime(rows["time"]).fillna(pd.Timestamp(0)).astype("datetime64[us]").astype("int64").to_numpy()
+    return walk.Tracks(value, known, np.arange(len(rows)) == 0)
+
+
+def kept_rows(tracks: walk.Tracks, held: np.ndarray) -> list[list[float]]:
+    return [[float(tracks.value[c][i]) for c in COLUMNS] for i in held.tolist()]
+
+
+def held_rows(state: list[list[float]]) -> walk.Tracks:
+    """Rows of a state again; what they are held against is never null."""
+    rows = np.array(state, float).reshape(-1, len(COLUMNS))
+    value = {c: rows[:, i] for i, c in enumerate(COLUMNS)} | {"time": rows[:, 0].astype(np.int64)}
+    return walk.Tracks(value, {c: np.ones(len(rows), bool) for c in COLUMNS}, np.arange(len(rows)) == 0)
+
+
 def clean(stream: DataFrame, stale_window: int = 5, max_speed_kmh: float = 200.0) -> DataFrame:
     """Pings (id, time, lat, lon, speed, heading) that neither repeat a recent one nor need an impossible speed.
 
@@ -30,18 +53,17 @@ def clean(stream: DataFrame, stale_window: int = 5, max_speed_kmh: float = 200.0
     kinds = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stale, speed = Stale(stale_window), Speed(max_speed_kmh * KMH_TO_MPS)
-        if state.exists:
-            ring, anchor = state.get
-            stale.ring.extend(ring)
-            speed.anchor = tuple(anchor) if anchor else None
-        rows = pd.concat(list(frames)).sort_values("time")
-        some = rows.astype(object).where(rows.notna(), None)
-        us = [None if t is None else pd.Timestamp(t).value // 1000 for t in some["time"]]
-        keep = []
-        for t, lat, lon, v, h in zip(us, some["lat"], some["lon"], some["speed"], some["heading"]):
-            keep.append(stale.keep((lat, lon, v, h)) and speed.keep((t, lat, lon)))
-        state.update((list(stale.ring), list(map(float, speed.anchor)) if speed.anchor else None))
-        yield rows[keep]
-
-    return stream.groupBy("id").applyInPandasWithState(run, kinds, "ring array<binary>, anchor array<double>", "append", GroupStateTimeout.NoTimeout)
+        ring, anchor = state.get if state.exists else ([], [])
+        rows = pd.concat(list(frames)).sort_values("time", na_position="first", kind="stable")
+        steps = ((ring, lambda t: walk.fresh(t, COLUMNS[1:], "speed", stale_window)), (anchor, lambda t: walk.possible(t, "time", "lat", "lon", max_speed_kmh * KMH_TO_MPS)))
+        held = []
+        for before, step in steps:
+            earlier = held_rows(before)
+            given = tracks_of(rows).after(earlier) if len(rows) else earlier
+            stay, last = step(given)
+            held.append(kept_rows(given, last))
+            rows = rows[stay[earlier.n :]]
+        state.update(tuple(held))
+        yield rows
+
+    return stream.groupBy("id").applyInPandasWithState(run, kinds, "ring array<array<double>>, anchor array<array<double>>", "append", GroupStateTimeout.NoTimeout)
