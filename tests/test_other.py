@@ -76,7 +76,7 @@ def test_matching(spark, tmp_path):
     found = {r["id"]: r for r in matching.match_trips(df, matching.StraightLine).collect()}
     a, b = found["a_gap0_trip0"], found["b_gap0_trip0"]
     assert a["ok"] and a["n_bridges"] == 1 and a["max_detour_ratio"] == pytest.approx(1.0) and a["path_length_ratio"] == pytest.approx(1.0)
-    assert not b["ok"] and b["error"] == "fewer than 2 points"
+    assert not b["ok"] and b["error"] == "insufficient points (<2)"
     out = str(tmp_path / "out")
     matching.run_map_matching(df, out, matching.StraightLine)
     n = spark.read.parquet(out).count()
@@ -107,6 +107,65 @@ def test_maps(spark, tmp_path):
     assert "<polyline" in (tmp_path / "m.html").read_text()
 
 
+def test_layers_and_server(spark):
+    import threading
+    import urllib.request
+
+    rows = [("a", T0 + timedelta(minutes=i), 43.0 + max(0, i - 10) * 0.01, -79.0, 1.0, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, time timestamp_ntz, lat double, lon double, speed double, heading double")
+    split = trajectory.split_by_stops(df, 250.0, timedelta(minutes=5))
+    matched = matching.match_segments(split, matching.StraightLine)
+    found = viz.plot_inspection(df, split, matched)
+    assert {f["properties"]["layer"] for f in found["features"]} == {"raw", "segments", "matched", "shape"}
+    server = viz.serve_map(found, port=0, forever=False)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/", timeout=10) as page:
+        assert b"<polyline" in page.read()
+    server.server_close()
+    with pytest.raises(ValueError):
+        viz.stage_trips(spark, "x", truck="a", trip="b")
+
+
+def test_grid_roads_and_quality():
+    from waymark.plans.grid import GridRoads
+
+    engine = GridRoads(0.01)
+    along = [(43.0 + 0.0004 * (i % 2), -79.0 + i * 0.002) for i in range(12)]  # beside the road along 43.0
+    row, found = matching.evaluate(engine, along, [60.0 * i for i in range(12)], "route")
+    assert row["ok"] and found.ways == [2 * 4300] and all(abs(p[0] - 43.0) < 1e-9 for p in found.points)
+    corner = [*along, *[(43.0 + i * 0.002, -78.98) for i in range(1, 8)]]
+    assert matching.evaluate(engine, corner, [60.0 * i for i in range(len(corner))], "attributes")[1].ways == [2 * 4300, 2 * -7898 + 1]
+    apart = [(43.0, -79.0), (43.0, -78.998), (43.5, -79.0), (43.5, -78.998)]  # far apart: two shapes
+    row, found = matching.evaluate(engine, apart, [0, 60, 120, 180], "route", breakage_cap_m=3000.0)
+    assert row["n_polylines"] == 2 and row["has_issues"] and not row["ok"]
+    assert not matching.evaluate(engine, apart, [0, 60, 120, 180], "ways")[0]["has_issues"]
+    nowhere = matching.evaluate(engine, [(43.005, -79.005)] * 2, [0, 60], "route")[0]
+    assert nowhere["error"].startswith("RuntimeError") and nowhere["has_issues"]
+
+
+def test_requests():
+    from waymark.plans import requests
+
+    body = requests.decode(requests.encode(requests.trace_request([(43.0, -79.0), (43.1, -79.0)], "truck", {"height": 4}, only=["edge.way_id"], beta=7)))
+    assert body["trace_options"]["beta"] == 7 and body["costing_options"] == {"truck": {"height": 4}} and body["filters"]["action"] == "include"
+    assert 16_000 < body["trace_options"]["breakage_distance"] < 17_000
+    legs = [{"shape": "_p~iF~ps|U_ulLnnqC_mqNvxq`@", "maneuvers": [{"length": 1.0, "time": 100, "begin_shape_index": 0, "end_shape_index": 1}]}]
+    answer = {"trip": {"legs": legs, "summary": {"length": 2.0, "time": 100}}, "alternates": [{"trip": {"legs": legs}}], "edges": [{"way_id": 1}, {"way_id": 1}, {}, {"way_id": 2}], "matched_points": [{"lat": 1.0, "lon": 2.0}]}
+    assert len(requests.shapes(answer)) == 2 and requests.way_ids(answer) == [1, 2] and requests.matched_points(answer, [(0.0, 0.0)]) == [(1.0, 2.0, 0.0)]
+    assert requests.route(answer).speeds_mps == [10.0, 20.0]
+    with pytest.raises(FileNotFoundError):
+        requests.find_config("/nowhere/x.json")
+
+
+def test_database_has_every_error(spark, tmp_path, monkeypatch):
+    from waymark.generate import models, trips
+
+    monkeypatch.setattr(trips, "random_trip", lambda name, day, rng: TripConfig(name, (43.6, -79.4), (43.7, -79.3), day, 1))
+    assert [e.kind for k in sorted(models.PROFILE) for e in models.certain_error(k)] == sorted({*GPS, *OPERATIONAL})
+    trips.generate_database(spark, str(tmp_path / "db"), 2, 1, T0)
+    assert spark.read.parquet(str(tmp_path / "db")).select("id").distinct().count() == 2
+
+
 def test_stream(spark, tmp_path):
     from waymark.streaming import trips
 

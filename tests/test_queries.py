@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from waymark import queries_files  # noqa: F401
 from waymark.queries import ORACLES, QUERIES, flagship
 
 

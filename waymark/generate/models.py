@@ -54,14 +54,20 @@ class TripConfig:
     errors: list[ErrorConfig] = field(default_factory=list)
 
 
-#: The default profile, each kind with its probability.
+#: The default profile, each kind with its probability, and parameters of some kinds.
 PROFILE = {
-    "signal_dropout": 0.15, "cold_start_drift": 0.1, "multipath": 0.15, "frozen_fix": 0.05, "timestamp_glitch": 0.05,
-    "coordinate_corruption": 0.03, "speed_heading_desync": 0.05, "jitter_at_rest": 0.3, "stale_reemission": 0.1,
-    "privacy_shutoff": 0.05, "relay_driving": 0.05, "yard_dwell": 0.2, "fuel_rest_stop": 0.25, "weigh_station_stop": 0.1,
-    "bobtail_segment": 0.05, "off_route_detour": 0.05, "loading_dwell": 0.2, "device_power_cycle": 0.05, "traffic_jam": 0.15, "geofence_gap": 0.02,
+    "jitter_at_rest": 0.25, "signal_dropout": 0.08, "cold_start_drift": 0.10, "device_power_cycle": 0.07, "multipath": 0.05, "speed_heading_desync": 0.05,
+    "frozen_fix": 0.03, "timestamp_glitch": 0.01, "coordinate_corruption": 0.01, "stale_reemission": 0.04,
+    "fuel_rest_stop": 0.20, "loading_dwell": 0.15, "weigh_station_stop": 0.10, "bobtail_segment": 0.08, "yard_dwell": 0.05, "traffic_jam": 0.06,
+    "off_route_detour": 0.04, "privacy_shutoff": 0.03, "geofence_gap": 0.02, "relay_driving": 0.01,
 }
+PARAMS = {"multipath": {"count": 2}, "timestamp_glitch": {"count": 1}, "coordinate_corruption": {"count": 1}, "stale_reemission": {"count": 2}, "geofence_gap": {"center": (44.25, -76.5), "radius_m": 2000.0}}
 
 
 def default_error_profile() -> list[ErrorConfig]:
-    return [ErrorConfig(kind, p) for kind, p in PROFILE.items() if kind != "geofence_gap"]
+    return [ErrorConfig(kind, p, PARAMS.get(kind, {})) for kind, p in PROFILE.items()]
+
+
+def certain_error(kind: str) -> list[ErrorConfig]:
+    """A profile that has one kind of error for sure."""
+    return [ErrorConfig(kind, 1.0, PARAMS.get(kind, {}))]

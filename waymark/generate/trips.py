@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from datetime import datetime, timedelta
 from random import Random
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import MPS_TO_MPH
 from waymark.generate.errors import apply_errors, moved
-from waymark.generate.models import STEP_S, RouteSegment, TracePoint, TripConfig, default_error_profile
+from waymark.generate.models import PROFILE, STEP_S, RouteSegment, TracePoint, TripConfig, certain_error, default_error_profile
 from waymark.operators.walk import bearing_of
 from waymark.operators.walk import metres as haversine
 from waymark.schema import PING
@@ -155,7 +156,11 @@ def random_trip(trip_id: str, day: datetime, rng: Random) -> TripConfig:
 
 
 def generate_database(spark: SparkSession, out_dir: str, trucks: int, trips_each: int, first_day: datetime, seed: int = 0) -> None:
-    """Raw pings of many trucks under year=YYYY/chunk_id=XX; every kind of error occurs in some trip."""
+    """Raw pings of many trucks under year=YYYY/chunk_id=XX; every kind of error occurs in some trip, if there are as many trips as kinds.
+
+    The first trips of all trucks, then their second ones, and so on, get one kind each for sure.
+    """
+    kinds = sorted(PROFILE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -164,6 +169,8 @@ def generate_database(spark: SparkSession, out_dir: str, trucks: int, trips_each
                 name = f"{rng.getrandbits(64):016x}"
                 for k in range(trips_each):
                     trip = random_trip(f"{name}/{k}", first_day + timedelta(days=k), rng)
+                    if (slot := k * trucks + int(truck)) < len(kinds):
+                        trip = replace(trip, errors=certain_error(kinds[slot]))
                     points = generate_trace(trip)
                     yield pd.DataFrame([(name, p.time, p.lat, p.lon, p.speed, p.heading) for p in points], columns=["id", "time", "lat", "lon", "speed", "heading"])
 

@@ -107,12 +107,12 @@ def stops_cte(source: str, diameter: float, seconds: float, out: str = "stopped"
     s, n, w, e = "least(b.s, r.lat)", "greatest(b.n, r.lat)", "least(b.w, r.lon)", "greatest(b.e, r.lon)"
     return f"""{out}_r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY time) AS rn FROM {source}),
     {out}_b(id, a, z, t, s, n, w, e, far) AS (
-      SELECT id, rn, rn, epoch_us(time), lat, lat, lon, lon, 0::BIGINT FROM {out}_r
+      SELECT id, rn, rn, epoch_us(time), lat, lat, lon, lon, 0::BIGINT FROM {out}_r WHERE lat IS NOT NULL AND lon IS NOT NULL
       UNION ALL
       SELECT b.id, b.a, r.rn, b.t, {s}, {n}, {w}, {e}, epoch_us(r.time) - b.t
       FROM {out}_b b JOIN {out}_r r ON r.id = b.id AND r.rn = b.z + 1
-      WHERE {n} - {s} <= {deg} AND {e} - {w} <= {deg} AND {hav(s, w, n, e)} <= {diameter}::DOUBLE),
-    {out}_e AS MATERIALIZED (SELECT id, a, max(z) FILTER (far >= {int(seconds * 1e6)}) AS z FROM {out}_b GROUP BY id, a),
+      WHERE r.lat IS NOT NULL AND r.lon IS NOT NULL AND {n} - {s} <= {deg} AND {e} - {w} <= {deg} AND {hav(s, w, n, e)} <= {diameter}::DOUBLE),
+    {out}_e AS MATERIALIZED (SELECT r.id, r.rn AS a, max(b.z) FILTER (b.far >= {int(seconds * 1e6)}) AS z FROM {out}_r r LEFT JOIN {out}_b b ON b.id = r.id AND b.a = r.rn GROUP BY r.id, r.rn),
     {out}_c(id, a, z) AS (
       SELECT id, a, z FROM {out}_e WHERE a = 1
       UNION ALL
@@ -480,15 +480,6 @@ def partition_timing_stats(p: DataFrame) -> DataFrame:
 # --- Lookups -----------------------------------------------------------------------------------
 
 
-def _chunked(p: DataFrame) -> DataFrame:
-    return p.withColumn("chunk_id", ids.raw_chunk("id"))
-
-
-@query(sql(f"SELECT {ALL}, right(id, 2) AS chunk_id FROM gps WHERE right(id, 2) = '03' AND id = 'truck_000003'"))
-def scan_raw_truck(p: DataFrame) -> DataFrame:
-    return readers.raw_truck(_chunked(p), "truck_000003")
-
-
 @query(sql(f"SELECT {ALL} FROM gps WHERE starts_with(id, 'truck_00000')"))
 def scan_partitioned_truck(p: DataFrame) -> DataFrame:
     return readers.of_truck(p, "truck_00000")
@@ -504,11 +495,6 @@ def trace_date_range(p: DataFrame) -> DataFrame:
     return readers.date_range(p, date(2024, 1, 5), date(2024, 1, 7))
 
 
-@query(sql("SELECT right(id, 3) AS chunk_id, count(DISTINCT id) AS n_trips FROM gps GROUP BY 1"))
-def chunk_index(p: DataFrame) -> DataFrame:
-    return p.groupBy(ids.trip_chunk("id").alias("chunk_id")).agg(F.countDistinct("id").alias("n_trips"))
-
-
 @query(
     sql(
         "SELECT coalesce(a.id, b.id) AS id, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM (SELECT id, CAST(time AS DATE) AS day, count(*) AS n FROM s1 WHERE is_stop GROUP BY ALL) a"

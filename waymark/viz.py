@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import json
+from datetime import date
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.segments import downsample, stop_summary
+from waymark.sources import readers
 
 COLORS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#17becf")
 
@@ -60,3 +63,82 @@ def to_html(collection: dict, title: str = "trace") -> str:
 def save_map(df: DataFrame, path: str, max_points: int = 5000) -> None:
     with open(path, "w") as f:
         f.write(to_html(geojson(df, max_points)))
+
+
+def layered(max_points: int = 5000, **layers: DataFrame | None) -> dict:
+    """One collection of several frames, each feature with the name of its layer; frames that are None are left out."""
+    features = []
+    for name, df in layers.items():
+        if df is not None:
+            features += [f | {"properties": f["properties"] | {"layer": name}} for f in geojson(df, max_points)["features"]]
+    return {"type": "FeatureCollection", "features": features}
+
+
+def shape_features(matched: DataFrame, max_points: int = 5000) -> list[dict]:
+    """Lines of matched shapes (segment_id, shapes): a colour a segment, a line a shape, thinned to about max_points each."""
+    n = F.size("line")
+    step = F.greatest(F.lit(1), F.ceil(n / max_points).cast("int"))
+    lines = matched.select("segment_id", F.posexplode("shapes").alias("part", "line"))
+    thin = lines.withColumn("line", F.filter("line", lambda q, i: (i % step == 0) | (i == n - 1)))
+    found = []
+    for r in thin.orderBy("segment_id", "part").collect():
+        path = [[q["lon"], q["lat"]] for q in r["line"]]
+        found.append({"type": "Feature", "geometry": {"type": "LineString", "coordinates": path}, "properties": {"id": "", "segment_id": r["segment_id"], "color": COLORS[r["segment_id"] % len(COLORS)], "mode": "shape", "layer": "shape"}})
+    return found
+
+
+def plot_inspection(raw: DataFrame, split: DataFrame, matched: DataFrame | None = None, max_points: int = 5000) -> dict:
+    """Raw pings, segments and, from match_segments' rows, matched points and shapes as layers of one collection."""
+    points = None
+    if matched is not None:
+        points = matched.select("segment_id", F.explode("points").alias("p")).select("segment_id", "p.*").filter("matched_lat is not null")
+    found = layered(max_points, raw=raw, segments=split, matched=points)
+    return found | {"features": found["features"] + (shape_features(matched, max_points) if matched is not None else [])}
+
+
+def stage_trips(spark: SparkSession, root: str, truck: str | None = None, trip: str | None = None, trips: list[str] | None = None) -> DataFrame:
+    """Rows of a stage's dataset for exactly one of a truck, a trip or some trips."""
+    if sum(x is not None for x in (truck, trip, trips)) != 1:
+        raise ValueError("give exactly one of truck, trip and trips")
+    if truck is not None:
+        return readers.scan_partitioned_truck(spark, root, truck)
+    return readers.scan_trips(spark, root, trips) if trips is not None else readers.scan_partitioned_trip(spark, root, trip)
+
+
+def inspect_truck(spark: SparkSession, truck: str, raw_dir: str, first: date | None = None, last: date | None = None, max_points: int = 5000) -> dict:
+    """A truck's raw pings of the days first to last."""
+    df = readers.scan_raw_truck(spark, raw_dir, truck)
+    return layered(max_points, raw=readers.date_range(df, first, last) if first and last else df)
+
+
+def inspect_trip(spark: SparkSession, trip: str, partitioned_dir: str, max_points: int = 5000) -> dict:
+    """A trip's segments."""
+    return layered(max_points, segments=stage_trips(spark, partitioned_dir, trip=trip))
+
+
+def inspect_pipeline(spark: SparkSession, truck: str, raw_dir: str, partitioned_dir: str, first: date, last: date, matched: DataFrame | None = None, max_points: int = 5000) -> dict:
+    """A truck's way through the pipeline on the days first to last: raw pings, trips, and (given as a frame) matched pings."""
+    days = lambda df: readers.date_range(df, first, last)
+    own = None if matched is None else days(readers.of_truck(matched, truck))
+    return layered(max_points, raw=days(readers.scan_raw_truck(spark, raw_dir, truck)), segments=days(stage_trips(spark, partitioned_dir, truck=truck)), matched=own)
+
+
+def serve_map(collection: dict, port: int = 8000, title: str = "trace", forever: bool = True) -> ThreadingHTTPServer:
+    """Serve a collection's page on this machine; with forever=False the server is returned and not yet started."""
+    page = to_html(collection, title).encode()
+
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", str(len(page)))
+            self.end_headers()
+            self.wfile.write(page)
+
+        def log_message(self, *_: object) -> None:
+            """Requests are not worth a line."""
+
+    server = ThreadingHTTPServer(("127.0.0.1", port), Page)
+    if forever:
+        server.serve_forever()
+    return server
