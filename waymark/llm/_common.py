@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.files import Files
+
 #: Text bytes that one slice of an Arrow batch holds at most (a single longer text is a slice alone).
 SLICE_BYTES = 4 << 20
 
@@ -41,7 +43,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing will read again."""
+    Files(df.sparkSession, df._stored_at).remove(df._stored_at)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,6 +81,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Bytes of words that are hashed at once, and places in a word that have a weight of their own.
+HASHED, PLACES = 1 << 20, 1 << 16
+SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (the public splitmix64 constants)."""
     with np.errstate(over="ignore"):
@@ -105,6 +119,56 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out ^ np.uint64(width))
 
 
+def _numbers(seed: int, n: int) -> np.ndarray:
+    """n odd 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(n, dtype=np.uint64) + np.uint64(seed)) | np.uint64(1)
+
+
+LETTER, PLACE = _numbers(0x5EED << 32, 256), _numbers(0x91ACE << 32, PLACES)
+LOWER = LETTER[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+
+
+def hash_words(column: pa.StringArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end): words are what white space (ASCII) parts.
+
+    A hash is the sum of products of a number for each byte and one for its place; with `lower`, A-Z
+    count as a-z. Null texts have no words.
+    """
+    column = column.fill_null("") if column.null_count else column
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    inside = ~SPACES[data]
+    begin, end = inside.copy(), inside.copy()
+    edge = offsets[(offsets > 0) & (offsets < len(data))]  # no word goes on from one text to the next
+    begin[1:] &= ~inside[:-1]
+    begin[edge] = inside[edge]
+    end[:-1] &= ~inside[1:]
+    end[edge - 1] = inside[edge - 1]
+    start, size = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size -= start
+    out = np.empty(len(start), np.uint64)
+    number = LOWER if lower else LETTER
+    total = np.cumsum(size)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HASHED, side="right")))
+        part = slice(start[a], start[b - 1] + size[b - 1])
+        own = size[a:b]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        with np.errstate(over="ignore"):
+            value = number[data[part][inside[part]]]
+            if own.max() > PLACES:
+                value *= mix((place // PLACES).astype(np.uint64)) | np.uint64(1)
+                place %= PLACES
+            out[a:b] = np.add.reduceat(value * PLACE[place], first)
+        a = b
+    return mix(out ^ size.astype(np.uint64) << np.uint64(1)), np.searchsorted(start, offsets)
+
+
 #: The characters of Unicode White_Space.
 WHITE_CHARS = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WHITE = "".join(f"\\u{ord(c):04x}" for c in WHITE_CHARS)
@@ -132,13 +196,15 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     the shared folder; nothing but the count of changed labels reaches the driver.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), tag)
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), tag)
+    table = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), tag)
     while True:
+        labels = table.select("node", "label")
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         once = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         hop = once.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = materialise(once.join(hop, "label").select("node", "was", F.col("up").alias("label")), tag)
-        changed = new.filter("was != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        discard(table)
+        table = new
+        if new.filter("was != label").isEmpty():
+            discard(both)
+            return new.select("node", F.col("label").alias("component"))

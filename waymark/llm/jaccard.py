@@ -1,16 +1,20 @@
 """N-gram Jaccard join by PartEnum signatures (exact at 0.8).
 
-The domain of shingles is cut into n parts; a set's signature in a part is the hash of its
-shingles there. Sets whose sizes allow a similarity of 0.8 differ in at most k shingles, so in at
-most k parts (part subsets of size one; n > k). Size bands with a common n overlap by the factor
-1.25, so that all sets that can be similar have a band in common.
-
-A set need not give all n signatures: two sets that agree in all but k of theirs also share one
-among the first k + 1 in any order that both follow. Most shingles first is such an order, and it
-leaves out the parts that tell least. Likewise the domain may be restricted: signatures are taken
-over shingles that are not frequent, and a set that fills k parts or fewer this way gives those
-over all shingles as well (of two such sets, both do). The frequent ones, at most FREQUENT, are
-found by counting over all documents; they steer the cost and not the result.
+Sets whose sizes allow a similarity of 0.8 differ in at most k shingles. The domain of shingles is
+cut into n partitions, more than k / 2, so that one of them holds at most one of these; each
+partition is cut into three parts, and its three subsets of two parts are enumerated: one subset is
+then free of differences. A signature is the hash of a set's shingles in one subset. Size bands
+with a common n overlap by the factor 1.25, so that all sets that can be similar have a band in
+common.
+
+A set need not give all 3n signatures. A difference spoils two signatures of its partition, and
+further ones there the third: at most `lost(k)` in all. Two sets that agree in all but so many of
+theirs also share one among the first lost(k) + 1 in any order that both follow. Most shingles first
+is such an order, and it leaves out the subsets that tell least. Likewise the domain may be
+restricted: signatures are taken over shingles that are not frequent, and a set that has lost(k)
+signatures or fewer this way gives those over all shingles as well (of two such sets, both do). The
+frequent ones, at most FREQUENT, are found by counting over all documents; they steer the cost and
+not the result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import connected_components, materialise, mix, rolling, slices, word_hashes
+from waymark.llm._common import connected_components, discard, hash_words, materialise, mix, rolling, slices
 from waymark.llm.substrings import by_bucket
 
 WIDTH = 5
@@ -36,13 +40,19 @@ ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8")])
 BLOCK_BYTES = 8 << 20
 
 
+def shingle_sets(column: pa.StringArray) -> list[np.ndarray]:
+    """Of each text, the sorted distinct hashes of its runs of five words (A-Z in lower case), or of all words if there are fewer."""
+    h, first = hash_words(column, lower=True)
+    runs = rolling(h, WIDTH)  # those that reach into the next text are left out
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        out.append(np.unique(runs[a : b - WIDTH + 1]) if b - a >= WIDTH else rolling(h[a:b], max(1, b - a)))
+    return out
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the runs of five words (A-Z in lower case), or of all words if there are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    return np.unique(rolling(h, min(WIDTH, len(h))))
+    """The same of one text."""
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -57,18 +67,19 @@ def allowed(size: int) -> int:
     return (size + size * 5 // 4) // 9
 
 
-def bands(size: int) -> list[tuple[int, int]]:
-    """(band, parts): band j holds the sizes from 2**j to below 2.5 * 2**j."""
+def bands(size: int) -> list[int]:
+    """Bands of a size: band j holds the sizes from 2**j to below 2.5 * 2**j."""
     j = size.bit_length() - 1
-    out = [(j, parts(j))]
-    if j and 4 * size < 10 * 2 ** (j - 1):
-        out.append((j - 1, parts(j - 1)))
-    return out
+    return [j, j - 1] if j and 4 * size < 10 * 2 ** (j - 1) else [j]
 
 
-def parts(band: int) -> int:
-    most = allowed(int(2.5 * 2**band))
-    return max(48, most + most // 4 + 2)
+def partitions(band: int) -> int:
+    return allowed(int(2.5 * 2**band)) // 2 + 1
+
+
+def lost(k: int, n: int) -> int:
+    """Signatures that k differences spoil at most in n partitions (k < 2n): two by the first of a partition, one more by others there."""
+    return 2 * k if k <= n else n + k
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -76,30 +87,37 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     k, out = allowed(len(s)), []
     at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
     rare = s[frequent[at] != s] if len(frequent) else s
-    for band, n in bands(len(s)):
-        mine = _part_hashes(rare, n)
-        out.append(_first(*mine, k + 1, band, 0))
-        if len(mine[0]) <= k:  # too few parts without frequent shingles
-            full = _part_hashes(s, n)
-            out.append(_first(*full, k + 1, band, 1))
-            if len(full[0]) <= k:  # even so, agreement may be in empty parts alone
-                out.append(mix(np.array([band * 2 + 1], np.uint64) ^ np.uint64(0xE0E0E0E0)))
+    for band in bands(len(s)):
+        n = partitions(band)
+        most = lost(k, n)
+        mine = enumerated(rare, n, 2 * band)
+        out.append(_first(*mine, most + 1))
+        if len(mine[0]) <= most:  # too few without frequent shingles
+            full = enumerated(s, n, 2 * band + 1)
+            out.append(_first(*full, most + 1))
+            if len(full[0]) <= most:  # even so, agreement may be in empty subsets alone
+                out.append(mix(np.array([2 * band + 1], np.uint64) ^ np.uint64(0xE0E0E0E0)))
     return np.concatenate(out)
 
 
-def _part_hashes(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, shingles, hash) of each part that holds some of s."""
-    part = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    if not len(s):
-        return part, np.empty(0, np.int64), part
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    return part[first], np.diff(np.append(first, len(s))), np.add.reduceat(mix(s), first)
+def enumerated(s: np.ndarray, n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, shingles) of each subset of two of a partition's three parts that holds some of s."""
+    part = (((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(part, minlength=3 * n).reshape(n, 3)
+    total = np.zeros(3 * n, np.uint64)
+    if len(s):
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        total[part[first]] = np.add.reduceat(mix(s), first)
+    total = total.reshape(n, 3)
+    held = (count[:, [0, 0, 1]] + count[:, [1, 2, 2]]).ravel()
+    with np.errstate(over="ignore"):
+        pair = total[:, [0, 0, 1]] + total[:, [1, 2, 2]] * np.uint64(0x9E3779B97F4A7C15)
+        sig = mix(pair.ravel() ^ (np.arange(3 * n, dtype=np.uint64) + np.uint64(kind << 40)) * np.uint64(0xD6E8FEB86659FD93))
+    return sig[held > 0], held[held > 0]
 
 
-def _first(part: np.ndarray, count: np.ndarray, total: np.ndarray, most: int, band: int, kind: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        sig = mix(total ^ (part + np.uint64((band * 2 + kind) << 40)) * np.uint64(0xD6E8FEB86659FD93))
-    return sig[np.lexsort((sig, -count))[:most]] if len(sig) > most else sig
+def _first(sig: np.ndarray, held: np.ndarray, most: int) -> np.ndarray:
+    return sig[np.lexsort((sig, -held))[:most]] if len(sig) > most else sig
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -108,7 +126,7 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
-                sets = [shingles(t) for t in block.column("text").to_pylist()]
+                sets = shingle_sets(block.column("text"))
                 ids = [set_id(s) if len(s) else None for s in sets]
                 yield _rows(0, block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()))
                 different = {i: s for i, s in zip(ids, sets) if i is not None}
@@ -130,8 +148,7 @@ def sign(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
                 seen, held = set(), []
-                for text in block.column("text").to_pylist():
-                    s = shingles(text)
+                for s in shingle_sets(block.column("text")):
                     if len(s) and (i := set_id(s)) not in seen:
                         seen.add(i)
                         sig = signatures(s, frequent)
@@ -185,10 +202,12 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             linked = []
             for part in slices(batch, "tb"):
-                for a, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                    if a != last:
-                        last, kept = a, shingles(ta)
-                    other = shingles(tb)
+                names = part.column("a").to_pylist()
+                new = [i for i, a in enumerate(names) if a != (names[i - 1] if i else last)]  # rows of a new first set
+                ours = dict(zip(new, shingle_sets(part.column("ta").take(pa.array(new, pa.int64())))))
+                last = names[-1]
+                for i, other in enumerate(shingle_sets(part.column("tb"))):
+                    kept = ours.get(i, kept)
                     common = len(np.intersect1d(kept, other, assume_unique=True))
                     linked.append(100 * common >= 80 * (len(kept) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
@@ -210,7 +229,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["set", "n", "bits"])
 
     return texts.mapInArrow(run, "`set` long, n long, bits binary")
@@ -311,9 +330,13 @@ def join(df: DataFrame) -> DataFrame:
     # Large groups. First every member meets a few of the others (those of the smallest hashes, the
     # same ones in all groups); then each that is not connected with the most of its group meets its
     # two likeliest partners; then all partners that its sketch does not rule out.
-    pivots = large.filter(F.col("at") < PIVOTS).select("sig", F.col("set").alias("p"), F.col("at").alias("pat"))
-    met = large.join(pivots, "sig").filter("at > pat").select(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b"))
-    tried = materialise(verify(materialise(met.union(small).distinct(), "pairs"), sets, texts), "checked")
+    # Members of a group are dealt out in blocks, and its pivots go to all of them.
+    shares = F.ceil(F.col("size") / BLOCK).cast("int")
+    pivots = large.filter(F.col("at") < PIVOTS).select("sig", F.col("set").alias("p"), F.col("at").alias("pat"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    met = large.withColumn("share", F.pmod(F.xxhash64("set"), shares).cast("int")).join(pivots, ["sig", "share"]).filter("at > pat").select(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b"))
+    pairs = materialise(met.union(small).distinct(), "pairs")
+    tried = materialise(verify(pairs, sets, texts), "checked")
+    discard(pairs)
     component = connected_components(tried.filter("linked").select("a", "b"), "sets")
     sketched = materialise(sketches(texts), "sketches")
     for most in (2, None):
@@ -322,8 +345,10 @@ def join(df: DataFrame) -> DataFrame:
         active = materialise(placed.join(split, "sig"), "active")
         if not active.limit(1).count():
             break
-        pairs = likely(active, sketched, most).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = tried.union(materialise(verify(materialise(pairs, "pairs"), sets, texts), "checked"))
+        pairs = materialise(likely(active, sketched, most).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(materialise(verify(pairs, sets, texts), "checked"))
+        discard(pairs)
+        discard(active)
         component = connected_components(tried.filter("linked").select("a", "b"), "sets")
 
     placed = sets.join(component.withColumnRenamed("node", "set"), "set", "left").select("set", "first", F.coalesce("component", "set").alias("component"))
@@ -341,8 +366,8 @@ def _one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 keep = []
-                for i, t in zip(part.column("set").to_pylist(), part.column("text").to_pylist()):
-                    ok = i not in seen and set_id(shingles(t)) == i
+                for i, s in zip(part.column("set").to_pylist(), shingle_sets(part.column("text"))):
+                    ok = i not in seen and set_id(s) == i
                     if ok:
                         seen.add(i)
                     keep.append(ok)
