@@ -7,6 +7,7 @@ features. A text's score is a sum of table entries, taken for whole batches at o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from typing import Any
@@ -22,8 +23,10 @@ from waymark.llm._common import slices, word_hashes
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 
-FEATURES = ("log_bytes", "log_words", "word_bytes", "symbols", "upper", "digits", "pipes", "bangs", "stops", "distinct", "doubled", "top_word", "line_words", "repeated_lines", "non_ascii", "symbol_words")
+FEATURES = ("log_bytes", "log_words", "word_bytes", "symbols", "upper", "digits", "pipes", "bangs", "stops", "distinct", "doubled", "top_word", "line_words", "repeated_lines", "non_ascii", "mark_runs")
 SYMBOLS = b"#*$%&|<>"
+#: An ASCII mark two or more times in a row.
+RUN = re.compile(rb"([!-/:-@\[-`{-~])\1+")
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 
 
@@ -43,7 +46,7 @@ def features(text: str | None) -> list[float]:
         len(counts) / n, float((hashes[1:] == hashes[:-1]).sum()) / n, float(counts.max(initial=0)) / n,
         len(words) / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)),
         (len(raw) - len(raw.translate(None, bytes(range(128, 256))))) / size,
-        sum(map(raw.count, (b"### ", b"*** ", b"$$$ ", b"%%% ", b"&&& "))) / n,
+        len(RUN.findall(raw)) / n,
     ]
 
 
