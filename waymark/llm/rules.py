@@ -1,8 +1,9 @@
 """Quality rules: counts of a text, and a field over its lines that marks content or boilerplate.
 
-Every line of a text is described by a few binned shares; a linear-chain conditional random field,
-learned from lines of documents labelled good or bad, is decoded by Viterbi's algorithm. A text is
-kept if enough of its words stand in lines marked as content.
+Every line of a text is described by a few binned shares. Only documents are labelled, so lines get
+training states of their own first: what looks like lines of good documents is content, wherever it
+stands. A linear-chain conditional random field learns from these and is decoded by Viterbi's
+algorithm; a text is kept if enough of its words stand in lines marked as content.
 """
 
 from __future__ import annotations
@@ -96,6 +97,19 @@ def neutral() -> Model:
     return Model(np.ones(sum(SIZES)), np.zeros((2, 2)))
 
 
+def line_states(bins: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A state of its own for each line, from the labels of documents: 1 content, 0 boilerplate.
+
+    Lines that repeat an earlier one of their document are boilerplate. The others are judged one by
+    one: a field without moves learns from their documents' labels what lines of good documents look
+    like, and a line that looks so is content, whatever document it stands in.
+    """
+    again = (bins == SHIFTS[-1] + 1).any(1)
+    alone = np.ones(len(bins), np.int64)
+    weight, _ = crf.fit([bins[:, k : k + 1] for k in range(len(EDGES))], np.where(again, 0.0, label)[:, None], alone, sum(SIZES), rounds=40)
+    return ((weight[bins].sum(1) > 0) & ~again).astype(float)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fit on labels (doc_id, quality); all lines of at most `most` documents, in chains of CHAIN lines, reach the driver as bins. Raises NothingToLearn if none has a line."""
 
@@ -110,10 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         raise NothingToLearn("no labelled documents to learn from")
     lines = np.array([len(r[2]) // len(EDGES) for r in rows])
     flat = np.concatenate([np.array(r[2], np.int64) for r in rows]).reshape(-1, len(EDGES))
-    owner, first, length = crf.rectangle(lines, CHAIN)
-    cells = flat[np.minimum(first[:, None] + np.arange(CHAIN), len(flat) - 1)]
-    state = np.repeat(np.array([float(r[1]) for r in rows])[owner][:, None], CHAIN, 1)
-    weight, moves = crf.fit([cells[:, :, k] for k in range(len(EDGES))], state, length, sum(SIZES), rounds=40)
+    states = line_states(flat, np.repeat(np.array([float(r[1]) for r in rows]), lines))
+    _, first, length = crf.rectangle(lines, CHAIN)
+    at = np.minimum(first[:, None] + np.arange(CHAIN), len(flat) - 1)
+    cells = flat[at]
+    weight, moves = crf.fit([cells[:, :, k] for k in range(len(EDGES))], states[at], length, sum(SIZES), rounds=40)
     return Model(weight, moves)
 
 
