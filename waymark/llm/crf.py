@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def marginals(emission: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward: (probability of state 1, expected moves 2 x 2, log partition) of each chain."""
+def marginals(emission: np.ndarray, length: np.ndarray, moves: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: (probability of state 1, expected moves 2 x 2, log partition) of each chain; a chain's moves count `times` times."""
     n, steps = emission.shape
     forward = np.zeros((n, steps, 2))
     backward = np.zeros((n, steps, 2))
@@ -31,7 +31,8 @@ def marginals(emission: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tu
     for a in (0, 1):
         for b in (0, 1):
             x = forward[:, :-1, a] + moves[a, b] + b * emission[:, 1:] + backward[:, 1:, b] - total[:, None]
-            expected[a, b] = np.exp(np.where(np.arange(1, steps) < length[:, None], x, -np.inf)).sum()
+            each = np.exp(np.where(np.arange(1, steps) < length[:, None], x, -np.inf)).sum(1)
+            expected[a, b] = each.sum() if times is None else each @ times
     return np.where(np.arange(steps) < length[:, None], on, 0.0), expected, total
 
 
@@ -57,22 +58,23 @@ def viterbi(emission: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.n
     return states
 
 
-def fit(active: list[np.ndarray], state: np.ndarray, length: np.ndarray, size: int, rounds: int = 80, rate: float = 0.5, decay: float = 1e-3, offset: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(active: list[np.ndarray], state: np.ndarray, length: np.ndarray, size: int, rounds: int = 80, rate: float = 0.5, decay: float = 1e-3, offset: float = 0.0, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights (size) and moves of the likeliest field, by full-batch ascent with per-weight steps (Adagrad).
 
     active: for each kind of feature the (chains x steps) index of the one that holds; state: the
-    known states. offset is added to every emission.
+    known states. offset is added to every emission. A chain counts `times` times (once, if not given).
     """
     n, steps = state.shape
+    times = np.ones(n) if times is None else times.astype(float)
     mask = np.arange(steps) < length[:, None]
     weight, moves = np.zeros(size), np.zeros((2, 2))
     seen_w, seen_m = np.full(size, 1e-6), np.full((2, 2), 1e-6)
     pairs = mask[:, 1:]
-    known = np.array([[((state[:, :-1] == a) & (state[:, 1:] == b) & pairs).sum() for b in (0, 1)] for a in (0, 1)], float)
+    known = np.array([[((state[:, :-1] == a) & (state[:, 1:] == b) & pairs).sum(1) @ times for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(rounds):
         emission = offset + sum(weight[a] for a in active)
-        on, expected, _ = marginals(emission, length, moves)
-        error = np.where(mask, state - on, 0.0).ravel()
+        on, expected, _ = marginals(emission, length, moves, times)
+        error = (np.where(mask, state - on, 0.0) * times[:, None]).ravel()
         gradient = sum(np.bincount(a.ravel(), error, size) for a in active) - decay * weight
         seen_w += gradient**2
         weight += rate * gradient / np.sqrt(seen_w)

@@ -23,9 +23,9 @@ from waymark.llm import crf
 from waymark.llm._common import CACHE_ENTRIES, materialise, slices
 from waymark.llm.quality import NothingToLearn, training_rows
 
-#: Labelled rows that the field is fitted on at most, and chains among them.
-TRAIN_ROWS, TRAIN_CHAINS = 20_000, 12_000
-#: Tokens of a chain in training.
+#: Labelled rows that the field is fitted on at most.
+TRAIN_ROWS = 20_000
+#: Tokens of a chain in training; whole texts are cut into such chains, and equal ones are counted.
 LESSON = 32
 #: Share of toxic cases, natural logarithm of the odds against chance, and different toxic texts that a toxic word needs.
 SHARE, SURPRISE, TEXTS = 0.85, 16.0, 3
@@ -102,24 +102,17 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def lexicon(rows: list[tuple[int, list[int], list[int]]], base: float) -> set[int]:
-    """Words that set toxic documents apart. rows: label, vocabulary words, and what stands before each; base: share of toxic cases among those of all words.
+def lexicon(counts: list[tuple[int, int, int, int]], base: float) -> set[int]:
+    """Words that set toxic documents apart. counts: word, toxic cases, cases, kinds of toxic texts; base: share of toxic cases among those of all words.
 
     A word's cases are counted by what stands before it, so the copies of one document count once.
     A word is taken if toxic cases prevail (17 of 20) by more than chance would give any of many words,
     and if toxic texts of at least three kinds have it; texts with the same words are of one kind.
     """
-    cases: dict[int, dict[int, int]] = {}
-    kinds = Counter(w for words in {(*words, None, *before) for label, words, before in rows if label} for w in set(words[: words.index(None)]))
-    for label, words, before in rows:
-        for w, context in zip(words, before):
-            own = cases.setdefault(w, {})
-            own[context] = min(own.get(context, 1), label)
     chosen = set()
-    for w, own in cases.items():
-        n, on = len(own), sum(own.values())
+    for w, on, n, kinds in counts:
         share = on / n
-        if share >= SHARE and kinds[w] >= TEXTS:
+        if share >= SHARE and kinds >= TEXTS:
             surprise = n * (share * np.log(share / base) + (1 - share) * np.log(max(1 - share, 1e-9) / (1 - base)))
             if surprise >= SURPRISE:
                 chosen.add(w)
@@ -167,8 +160,10 @@ def case_counts(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fit on labels (doc_id, toxic) of at most `most` rows; raises NothingToLearn if there is none.
 
-    The field and the link learn from up to four excerpts of LESSON tokens a text, TRAIN_CHAINS in
-    all. These and all words and prefixes that set toxic texts apart reach the driver.
+    The field learns from all tokens of these texts, in chains of LESSON, and the link from whole
+    texts. What reaches the driver are the vocabulary, its counts, different chains with their
+    numbers (all chains without a word of the vocabulary are one for each length), and two numbers a
+    text.
     """
     labelled = materialise(training_rows(docs, labels, "toxic", most), "toxic")
 
@@ -181,39 +176,57 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     vocabulary = {r["pattern"]: i for i, r in enumerate(likely, 1)}
     size = len(vocabulary) + 1
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Indices(vocabulary)
         for batch in batches:
             rows = []
-            for doc, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+            for text, label in zip(*(batch.column(c).to_pylist() for c in ("text", "label"))):
                 own = tokens(text)
-                found = [index[t] for t in own]
-                hits = [i for i, w in enumerate(found) if w]
-                where = {(found[i], hash_of(own[i - 1]) if i else 0) for i in hits}
-                words, before = zip(*sorted(where)) if where else ((), ())
-                some = [i // LESSON for i in hits]
-                for k in sorted({*some[:: max(1, len(some) // 4)]} or {0})[:4]:  # some chains with words of the vocabulary, or one without
-                    rows.append((doc, label, words, before, found[k * LESSON : (k + 1) * LESSON]))
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "label", "words", "before", "chain"])
-
-    rows = sorted((r["doc_id"], r["label"], list(r["words"]), list(r["before"]), list(r["chain"])) for r in labelled.mapInArrow(chains, "doc_id long, label int, words array<int>, before array<long>, chain array<int>").toLocalIterator())
+                where = sorted({(w, hash_of(own[i - 1]) if i else 0) for i, t in enumerate(own) if (w := index[t])})
+                kind = xxhash.xxh3_64_intdigest(repr(where)) >> 1
+                rows += [(w, before, label, kind) for w, before in where]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["word", "before", "label", "kind"])
+
+    found = materialise(labelled.select("text", "label").mapInArrow(occurrences, "word int, before long, label int, kind long"), "occurrences")
+    once = found.groupBy("word", "before").agg(F.min("label").alias("label")).groupBy("word").agg(F.sum("label").alias("on"), F.count("label").alias("n"))
+    kinds = found.filter("label = 1").groupBy("word").agg(F.countDistinct("kind").alias("kinds"))
+    toxic = lexicon([(r["word"], r["on"], r["n"], r["kinds"]) for r in once.join(kinds, "word").collect()], base)
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Indices(vocabulary)
+        for batch in batches:
+            counts: Counter = Counter()
+            for own, label in zip(index.of(batch.column("text").to_pylist()), batch.column("label").to_pylist()):
+                for i in range(0, len(own), LESSON):
+                    part = tuple(own[i : i + LESSON].tolist())
+                    counts[(label if any(part) else 0, part)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.list_(pa.int32())), pa.array(counts.values(), pa.int64())], names=["label", "chain", "n"])
+
+    counted = labelled.select("text", "label").mapInArrow(chains, "label int, chain array<int>, n long").groupBy("label", "chain").agg(F.sum("n").alias("n"))
+    rows = sorted((list(r["chain"]), r["label"], r["n"]) for r in counted.collect())
     if not rows:
-        raise NothingToLearn("no labelled documents to learn from")
-    toxic = lexicon(list({r[0]: r[1:4] for r in rows}.values()), base)
-    used = sorted((r for r in rows if r[4]), key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))[:TRAIN_CHAINS]
-    words = np.zeros((len(used), LESSON), np.int64)
-    for i, r in enumerate(used):
-        words[i, : len(r[4])] = r[4]
-    label = np.array([r[1] for r in used])
+        if not labelled.limit(1).count():
+            raise NothingToLearn("no labelled documents to learn from")
+        rows = [([0], 0, 1)]  # all texts are empty
+    words = np.zeros((len(rows), LESSON), np.int64)
+    for i, (chain, _, _) in enumerate(rows):
+        words[i, : len(chain)] = chain
+    label = np.array([r[1] for r in rows])
     state = np.isin(words, list(toxic)) & (label == 1)[:, None]
-    length = np.array([len(r[4]) for r in used])
-    weight, moves = crf.fit(neighbours(words, size), state.astype(float), length, 3 * size, rounds=120, offset=-4.0)
+    weight, moves = crf.fit(neighbours(words, size), state.astype(float), np.array([len(r[0]) for r in rows]), 3 * size, rounds=400, offset=-4.0, times=np.array([r[2] for r in rows]))
     weight[:size] -= 4.0  # the offset of every token, as a part of its word's weight
     model = Model(vocabulary, weight, moves, np.zeros(3))
-    x = np.array([summary(p) for p in model.tag([np.array(r[4], np.int64) for r in used])]).reshape(-1, 3)
-    return model._replace(link=logistic(x, label.astype(float)))
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Indices(vocabulary)
+        for batch in batches:
+            for part in slices(batch):
+                x = [summary(p) for p in model.tag(index.of(part.column("text").to_pylist()))]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([r[1] for r in x]), pa.array([r[2] for r in x])], names=["label", "most", "total"])
+
+    texts = labelled.select("text", "label").mapInArrow(summaries, "label int, most double, total double").toPandas().sort_values(["most", "total", "label"])
+    x = np.column_stack([np.ones(len(texts)), texts["most"], texts["total"]])
+    return model._replace(link=logistic(x, texts["label"].to_numpy(float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
