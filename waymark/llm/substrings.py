@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import mix, rolling, slices, word_hashes
+from waymark.llm._common import hash_words, mix, rolling, slices
 
 #: Text bytes of a block whose repeats a task settles by itself.
 BLOCK_BYTES = 16 << 20
@@ -116,8 +116,9 @@ def find_anchors(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
                 held = []
-                for doc, text in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text"))):
-                    hashes = word_hashes(words_of(text))
+                words, first = hash_words(block.column("text"))
+                for doc, f, t in zip(block.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist()):
+                    hashes = words[f:t]
                     found = np.stack([anchors(hashes, width, k) for k in parts], 1)
                     found = found[different(found)]
                     a = np.empty(len(found), record(len(parts)))
@@ -211,8 +212,9 @@ def find_windows(joined: DataFrame, width: int, buckets: int) -> DataFrame:
         for batch in batches:
             for block in slices(batch, "text", BLOCK_BYTES):
                 parts = []
-                for doc, own, text, known in zip(*(block.column(c).to_pylist() for c in ("doc_id", "own", "text", "anchors"))):
-                    words = word_hashes(words_of(text))
+                hashed, first = hash_words(block.column("text"))
+                for doc, own, known, f, t in zip(*(block.column(c).to_pylist() for c in ("doc_id", "own", "anchors")), first.tolist(), first[1:].tolist()):
+                    words = hashed[f:t]
                     near = anchors(words, width, levels(width)[-1])
                     at = np.flatnonzero(np.isin(near, np.frombuffer(b"".join(known), "<u8")))
                     parts.append((np.full(len(at), doc), np.full(len(at), own), at, near[at], rolling(words, width)[at]))
