@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 stage's documents to the shared folder before the next one reads them. All but the last stage
 return the columns of `documents`. Models are fitted on the labelled documents that reach a stage;
 if none does, the first two stages keep all that they get.
+
+Any column may hold nulls and any stage may get an empty table, which gives an empty one. A null or
+empty text is scored like a text without words, has no near duplicate, is left as it is and is packed
+as the end id alone. Repeated rows are scored alike and stay or go together, since stages go by
+doc_id; rows without doc_id are compared with none. Further columns ride through the first four
+stages, whatever their names.
 """
 
 from __future__ import annotations
