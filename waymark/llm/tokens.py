@@ -23,12 +23,13 @@ from waymark.llm._common import WHITE_CHARS, chunks
 #: Text bytes that are encoded at once.
 BLOCK_BYTES = 4 << 20
 #: Words whose ids a worker keeps; a table that is full starts anew.
-ENTRIES = 300_000
+ENTRIES = 600_000
 #: Words that the library gets in one string.
 JOINED = 64
-#: ASCII marks behind a word, and a word of Latin-1 letters; the patterns of both tokenizers break between them.
+#: ASCII marks behind a word, and a word of Latin-1 letters (with the newline before it, where that is kept); the patterns of both tokenizers break between them.
 MARKS = ".,;:!?#*$%&|"
-LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARK_PLACE = np.array([max(0, MARKS.find(chr(c))) for c in range(256)])
+LETTERS = "^\\n?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Texts with any of these are split by `chunks`: two white spaces in a row, and white space that Arrow does not split at.
 DOUBLE = ["".join(x) for x in product(" \n", repeat=2)]
 ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -39,6 +40,11 @@ def uneven(text: str) -> bool:
     return any(x in text for x in DOUBLE) or any(x in text for x in ODD) or not text.isascii() and any(x in text for x in WIDE)
 
 
+def spaced(word: str) -> str:
+    """A word with what parts it from the one before: a newline, which it has already, or a space."""
+    return word if word[:1] == "\n" else " " + word
+
+
 class Table:
     """Ids of numbered entries, end to end in one array that grows."""
 
@@ -75,12 +81,12 @@ class ChunkEncoder:
         self.spaced = json.loads(self.library.to_str())["pre_tokenizer"]["type"] == "ByteLevel"
         tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         # where a word begins in ids of words joined together: at a token with a space, or behind one with a word's end
-        self.edge = np.array([t.startswith("Ġ") if self.spaced else t.endswith("</w>") for t in tokens])
+        self.edge = np.array([t.startswith("Ġ") or t == "Ċ" if self.spaced else t.endswith("</w>") for t in tokens])
         self.forget()
 
     def forget(self) -> None:
         self.table = Table()
-        self.known: dict[str, int] = {}  # letter-only words (behind a space, where spaces matter)
+        self.known: dict[str, int] = {}  # letter-only words (behind a space or a newline, where these matter)
         self.others: dict[str, int] = {}  # whole chunks
 
     def _singly(self, chunks_: list[str]) -> None:
@@ -93,7 +99,7 @@ class ChunkEncoder:
         """Add words, each one match of the pattern, to the table."""
         for i in range(0, len(words), 32 * JOINED):
             groups = [words[j : j + JOINED] for j in range(i, min(len(words), i + 32 * JOINED), JOINED)]
-            found = self.library.encode_batch_fast([" " * self.spaced + " ".join(g) for g in groups], add_special_tokens=False)
+            found = self.library.encode_batch_fast([" ".join(g) if not self.spaced else "".join(map(spaced, g)) for g in groups], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
             edges = np.flatnonzero(self.edge[ids])
             cuts = np.append(edges, len(ids)) if self.spaced else np.append(0, edges + 1)
@@ -103,12 +109,14 @@ class ChunkEncoder:
 
     def _entries(self, wanted: list[str], known: dict[str, int], add: Callable[[list[str]], None]) -> np.ndarray:
         """Places in the table of what is wanted, which is added where it is new."""
-        new = list(dict.fromkeys(w for w in wanted if w not in known))
-        if new:
+        found = list(map(known.get, wanted))
+        if None in found:
+            new = list(dict.fromkeys(w for w, i in zip(wanted, found) if i is None))
             first = self.table.n
             add(new)
             known.update(zip(new, range(first, self.table.n)))
-        return np.fromiter(map(known.__getitem__, wanted), np.int64, len(wanted))
+            found = map(known.__getitem__, wanted)
+        return np.fromiter(found, np.int64, len(wanted))
 
     def _words(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, length) of words without white space around them; behind a space, where spaces matter."""
@@ -119,13 +127,17 @@ class ChunkEncoder:
         coded = letters.dictionary_encode()
         letter = self._entries(coded.dictionary.to_pylist(), self.known, self._joined)[coded.indices.to_numpy()]
         # a word is its letters and what else it has: two places in the table, side by side
-        marked = np.flatnonzero(~plain | (pc.binary_length(distinct).to_numpy() > pc.binary_length(core).to_numpy()))
-        whole = distinct.take(pa.array(marked)).to_pylist()
-        skip = np.where(plain[marked], pc.utf8_length(core.take(pa.array(marked))).to_numpy(), -1)
-        space = " " * self.spaced
-        rest = self._entries([w[k:] if k >= 0 else space + w for w, k in zip(whole, skip.tolist())], self.others, self._singly)
+        # (one mark behind letters is the usual rest, and looked up by its byte)
+        more = pc.binary_length(distinct).to_numpy() - pc.binary_length(core).to_numpy()
+        one = np.flatnonzero(plain & (more == 1))
+        marks = self._entries(list(MARKS), self.others, self._singly)
+        last = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[np.frombuffer(distinct.buffers()[1], np.int32)[one + distinct.offset + 1] - 1]
+        other = np.flatnonzero(~plain | (more > 1))
+        whole = distinct.take(pa.array(other)).to_pylist()
+        skip = np.where(plain[other], pc.utf8_length(core.take(pa.array(other))).to_numpy(), -1)
+        rest = self._entries([w[k:] if k >= 0 else spaced(w) if self.spaced else w for w, k in zip(whole, skip.tolist())], self.others, self._singly)
         start, length = (np.zeros((len(distinct), 2), np.int64) for _ in range(2))
-        for column, rows, entry in ((0, at, letter), (1, marked, rest)):
+        for column, rows, entry in ((0, at, letter), (1, one, marks[MARK_PLACE[last]]), (1, other, rest)):
             start[rows, column] = self.table.ends[entry]
             length[rows, column] = self.table.ends[entry + 1] - self.table.ends[entry]
         both = length.sum(1)
@@ -134,12 +146,12 @@ class ChunkEncoder:
     def _even(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are not uneven."""
         column = pa.array(texts, pa.string())
-        lists = pc.split_pattern(column, " ") if self.spaced else pc.ascii_split_whitespace(column)
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ") if self.spaced else pc.ascii_split_whitespace(column)
         coded = lists.values.dictionary_encode()
         ids, start, length = self._words(coded.dictionary)
         code, offsets = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
         if self.spaced:  # a text's first word has no space before it
-            bare = self._entries([t.split(" ", 1)[0] for t in texts], self.others, self._singly)
+            bare = self._entries([t.split(" ", 1)[0].split("\n", 1)[0] for t in texts], self.others, self._singly)
             sizes = self.table.ends[bare + 1] - self.table.ends[bare]
             code[offsets[:-1]] = len(start) + np.arange(len(texts))
             start = np.concatenate([start, len(ids) + np.cumsum(sizes) - sizes])
