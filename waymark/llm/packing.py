@@ -256,6 +256,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and end_id, cut every `capacity` ids.
 
     A null or empty text is end_id alone. Rows with equal or null doc_id are documents of their own.
+    Other columns are left out, whatever their names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,12 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
 
 
 def place(cut: DataFrame, capacity: int) -> DataFrame:
-    """cut (rows with a `length` of 1 to capacity, and doc_id and piece) with sequence_id and offset."""
+    """cut (rows with a `length` of 1 to capacity, and doc_id and piece) with sequence_id and offset.
+
+    Which of several pieces of a length gets which place goes by doc_id and piece (ties: by start and
+    ids_crc32, else any way). Other columns ride through; those of the two new names, and names that
+    begin with an underscore, must not be among them. An empty table gives no rows.
+    """
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     total = sum(counts.values())
