@@ -54,6 +54,32 @@ def test_polyline_and_wkb(spark):
     rows = {r["way_id"]: r for r in index.collect()}
     assert rows[1]["bbox_xmax"] == 2.0 and rows[1]["centroid_y"] == 2.0 and rows[2]["geometry"] is None
     assert [r["way_id"] for r in ways.load_area(index, (1, 1, 3, 3), top_n=5).collect()] == [1]
+    metres = ways.load_area(index, (111_000, 111_000, 334_000, 334_000), bbox_crs="EPSG:3857", to_crs="EPSG:3857").collect()
+    assert [r["way_id"] for r in metres] == [1] and metres[0]["bbox_xmax"] == pytest.approx(222_638.98) and metres[0]["bbox_ymax"] == pytest.approx(445_640.11)
+
+
+def test_way_usage_stages(spark, tmp_path):
+    from waymark.plans.way_usage import run_way_usage
+
+    raw = struct.pack("<BII4d", 1, 2, 2, 0.0, 0.0, 2.0, 4.0)
+    spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("a", None)], "id string, way_id long").write.parquet(str(tmp_path / "matched"))
+    spark.createDataFrame([("way/1", bytearray(raw))], "feature_id string, geometry binary").write.parquet(str(tmp_path / "roads"))
+    run = lambda **k: [(r["way_id"], r["trip_count"], r["bbox_ymax"]) for r in run_way_usage(spark, str(tmp_path / "matched"), str(tmp_path / "roads"), str(tmp_path / "out"), **k).collect()]
+    assert run() == [(1, 2, 4.0), (2, 1, None)]
+    spark.createDataFrame([("c", 2), ("d", 2)], "id string, way_id long").write.mode("append").parquet(str(tmp_path / "matched"))
+    assert run() == run(force_stage=2) == [(1, 2, 4.0), (2, 1, None)]  # counts are kept
+    assert run(force_stage=1) == [(2, 3, None), (1, 2, 4.0)]
+
+
+def test_public_names(spark, tmp_path):
+    import waymark
+
+    assert all(getattr(waymark, n) is not None for n in waymark.__all__)
+    spark.createDataFrame([("a", T0, 43.0, -79.0, 36.0, 1.0)], "id string, time timestamp_ntz, lat double, lon double, speed double, heading double").write.parquet(str(tmp_path / "in"))
+    assert waymark.split_by_observation_gap_file(spark, str(tmp_path / "in"), str(tmp_path / "gap"), timedelta(minutes=2)) == 1
+    assert waymark.filter_stale_pings_file(spark, str(tmp_path / "in"), str(tmp_path / "fresh")) == 1
+    with pytest.raises(AttributeError):
+        waymark.nothing
 
 
 def shapes(spark, points):
@@ -130,10 +156,10 @@ def test_grid_roads_and_quality():
     from waymark.plans.grid import GridRoads
 
     engine = GridRoads(0.01)
-    along = [(43.0 + 0.0004 * (i % 2), -79.0 + i * 0.002) for i in range(12)]  # beside the road along 43.0
-    row, found = matching.evaluate(engine, along, [60.0 * i for i in range(12)], "route")
+    along = [(43.0 + 0.0004 * (i % 2), -78.999 + i * 0.002) for i in range(9)]  # beside the road along 43.0
+    row, found = matching.evaluate(engine, along, [60.0 * i for i in range(9)], "route")
     assert row["ok"] and found.ways == [2 * 4300] and all(abs(p[0] - 43.0) < 1e-9 for p in found.points)
-    corner = [*along, *[(43.0 + i * 0.002, -78.98) for i in range(1, 8)]]
+    corner = [*along, *[(43.001 + i * 0.002, -78.98) for i in range(4)]]
     assert matching.evaluate(engine, corner, [60.0 * i for i in range(len(corner))], "attributes")[1].ways == [2 * 4300, 2 * -7898 + 1]
     apart = [(43.0, -79.0), (43.0, -78.998), (43.5, -79.0), (43.5, -78.998)]  # far apart: two shapes
     row, found = matching.evaluate(engine, apart, [0, 60, 120, 180], "route", breakage_cap_m=3000.0)
