@@ -27,15 +27,16 @@ def assign_partitions(meta: DataFrame) -> DataFrame:
 
 
 def partition_points(points: DataFrame, id_col: str = "id") -> DataFrame:
-    """points with their trip's tier, partition_id and hilbert_idx; points of null id are left out.
+    """points with their trip's tier, partition_id and hilbert_idx; window aggregates share one exchange by trip.
 
-    Boxes are aggregated by trip (partly before the exchange) and keys worked out once a trip; the
-    join sends points to their trip's row, or the rows to all points where these are few.
+    Points are worked out once: an aggregate joined back would run all that comes before it (such as
+    a whole trip pipeline) twice.
     """
     require(points, id_col, "lat", "lon")
-    named = points.drop("tier", "partition_id", "hilbert_idx")
-    keyed = assign_partitions(trip_metadata(named, id_col)).select(F.col(id_col).alias("_trip"), "tier", "partition_id", "hilbert_idx")
-    return named.join(keyed, F.col(id_col) == F.col("_trip")).drop("_trip")
+    w = Window.partitionBy(id_col)
+    boxed = points.select("*", F.avg("lat").over(w).alias("centroid_lat"), F.avg("lon").over(w).alias("centroid_lon"), *[f(c).over(w).alias(f"_{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
+    keyed = assign_partitions(boxed.withColumn("bbox_diag_km", geo.haversine_km("_min_lat", "_min_lon", "_max_lat", "_max_lon")))
+    return keyed.select(*points.columns, "tier", "partition_id", "hilbert_idx")
 
 
 def partition_summary(keyed: DataFrame) -> DataFrame:
