@@ -1,6 +1,7 @@
 """Every registered trajectory query gives the rows of its SQL, on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -34,3 +35,21 @@ def test_query(spark, sf, con, name):
 
 def test_flagship(spark, sf):
     assert flagship(spark, sf).count() > 0
+
+
+@pytest.fixture(scope="module")
+def border(tmp_path_factory):
+    """Trucks of sf0.1 whose mean longitude is on the border of Hilbert cells, in files that Spark reads in another order."""
+    d = str(tmp_path_factory.mktemp("border"))
+    os.makedirs(f"{d}/events.parquet")
+    c = duckdb.connect()
+    c.execute("create table t as select *, row_number() over (partition by user_id order by event_id) as n from '/root/testdata/sf0.1/events.parquet' where user_id in (1123, 146)")
+    for k, where in enumerate(("n <= 5", "n > 5 and n <= 20", "n > 20")):
+        c.execute(f"copy (select * exclude (n) from t where {where} order by event_id) to '{d}/events.parquet/part-{k}.parquet'")
+    c.execute(f"set threads = 1; create view events as select * from '{d}/events.parquet/*.parquet'")
+    return d, c
+
+
+def test_border_assign_partitions(spark, border):
+    got = QUERIES["assign_partitions"](spark, border[0]).toPandas()
+    assert plain(got) == plain(border[1].execute(ORACLES["assign_partitions"]).df())

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 from waymark.schema import require
 
 
-def trip_metadata(points: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row per trip: id, centroid_lat, centroid_lon, bbox_diag_km."""
+def _boxed(points: DataFrame, id_col: str, order: Sequence[Column | str]) -> DataFrame:
+    """points with their trip's centroid_lat, centroid_lon, bbox_diag_km and, as _nth, their number in the trip.
+
+    Sums of doubles depend on their order in the last bit, and a centroid on the border of a tile or
+    Hilbert cell falls to either side by it. So positions are added up in a fixed order, not in that
+    in which an exchange happens to deal rows: by `order`, and where it leaves ties, by lat and lon.
+    """
+    w = Window.partitionBy(id_col).orderBy(*order, "lat", "lon")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = [f(c).over(whole).alias(f"_{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    boxed = points.select("*", F.avg("lat").over(whole).alias("centroid_lat"), F.avg("lon").over(whole).alias("centroid_lon"), *sides, F.row_number().over(w).alias("_nth"))
+    return boxed.withColumn("bbox_diag_km", geo.haversine_km("_min_lat", "_min_lon", "_max_lat", "_max_lon"))
+
+
+def trip_metadata(points: DataFrame, id_col: str = "id", order: Sequence[Column | str] = ()) -> DataFrame:
+    """One row per trip: id, centroid_lat, centroid_lon, bbox_diag_km; positions are added up by `order`, then lat, lon.
+
+    The same rows give the same doubles however they are dealt, and those that partition_points uses.
+    """
     require(points, id_col, "lat", "lon")
-    box = points.groupBy(id_col).agg(F.avg("lat").alias("centroid_lat"), F.avg("lon").alias("centroid_lon"), F.min("lat").alias("a"), F.min("lon").alias("b"), F.max("lat").alias("c"), F.max("lon").alias("d"))
-    return box.select(id_col, "centroid_lat", "centroid_lon", geo.haversine_km("a", "b", "c", "d").alias("bbox_diag_km"))
+    return _boxed(points, id_col, order).filter(F.col("_nth") == 1).select(id_col, "centroid_lat", "centroid_lon", "bbox_diag_km")
 
 
 def assign_partitions(meta: DataFrame) -> DataFrame:

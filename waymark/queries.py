@@ -274,6 +274,11 @@ def pipeline_trips(p: DataFrame) -> DataFrame:
 # Vehicles as a whole are long-haul, their days below 60 degrees local: both groupings together have all tiers.
 
 
+def _in_rows(p: DataFrame) -> DataFrame:
+    """p with _row, a ping's place in the table: the order in which SQL adds up on one thread."""
+    return p.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("_row"))
+
+
 def _both(p: DataFrame) -> DataFrame:
     days = p.filter("lat < 60").withColumn("id", F.concat("id", F.lit("_"), F.date_format("time", "yyyyMMdd")))
     return p.unionByName(days)
@@ -287,13 +292,13 @@ KEYS = (BOTH, META, hilbert("meta", "id"), KEYED)
 
 @query(sql("SELECT id, round(lat, 6) AS centroid_lat, round(lon, 6) AS centroid_lon, round(diag, 6) AS bbox_diag_km FROM meta", BOTH, META))
 def trip_metadata(p: DataFrame) -> DataFrame:
-    m = partition.trip_metadata(_both(p))
+    m = partition.trip_metadata(_both(_in_rows(p)), order=["_row"])
     return m.select("id", *[F.round(c, 6).alias(c) for c in ("centroid_lat", "centroid_lon", "bbox_diag_km")])
 
 
 @query(sql("SELECT id, tier, partition_id, hilbert_idx FROM keyed", *KEYS))
 def assign_partitions(p: DataFrame) -> DataFrame:
-    return partition.assign_partitions(partition.trip_metadata(_both(p))).select("id", "tier", "partition_id", "hilbert_idx")
+    return partition.assign_partitions(partition.trip_metadata(_both(_in_rows(p)), order=["_row"])).select("id", "tier", "partition_id", "hilbert_idx")
 
 
 @query(sql(f"SELECT {ALL}, tier, partition_id, hilbert_idx FROM both_ b JOIN (SELECT id, tier, partition_id, hilbert_idx FROM keyed) USING (id)", *KEYS))
