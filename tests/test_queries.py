@@ -5,9 +5,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from waymark import queries_files  # noqa: F401
+from waymark.operators import partition
 from waymark.queries import ORACLES, QUERIES, flagship
+from waymark.sources.fixture import gps_points
 
 
 def plain(df):
@@ -50,6 +53,16 @@ def border(tmp_path_factory):
     return d, c
 
 
-def test_border_assign_partitions(spark, border):
-    got = QUERIES["assign_partitions"](spark, border[0]).toPandas()
-    assert plain(got) == plain(border[1].execute(ORACLES["assign_partitions"]).df())
+@pytest.mark.parametrize("name", ["assign_partitions", "partition_points"])
+def test_border(spark, border, name):
+    got = QUERIES[name](spark, border[0]).toPandas()
+    assert plain(got) == plain(border[1].execute(ORACLES[name]).df())
+
+
+def test_keys_do_not_hang_on_dealing(spark, border):
+    """Pings in any order give the same keys, also where nothing but positions tells the order."""
+    pings = gps_points(spark, border[0])
+    dealt = [pings.orderBy(by) for by in ("time", F.desc("time"), "speed", F.xxhash64("time"))]
+    keys = [{tuple(r) for r in partition.partition_points(df).select("id", "tier", "partition_id", "hilbert_idx").collect()} for df in dealt]
+    alone = {tuple(r) for r in partition.assign_partitions(partition.trip_metadata(dealt[0])).select("id", "tier", "partition_id", "hilbert_idx").collect()}
+    assert len(alone) == 2 and all(k == alone for k in keys)

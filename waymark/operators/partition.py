@@ -44,17 +44,14 @@ def assign_partitions(meta: DataFrame) -> DataFrame:
     })
 
 
-def partition_points(points: DataFrame, id_col: str = "id") -> DataFrame:
+def partition_points(points: DataFrame, id_col: str = "id", order: Sequence[Column | str] = ()) -> DataFrame:
     """points with their trip's tier, partition_id and hilbert_idx; window aggregates share one exchange by trip.
 
     Points are worked out once: an aggregate joined back would run all that comes before it (such as
-    a whole trip pipeline) twice.
+    a whole trip pipeline) twice. Keys equal those of trip_metadata with the same `order`.
     """
     require(points, id_col, "lat", "lon")
-    w = Window.partitionBy(id_col)
-    boxed = points.select("*", F.avg("lat").over(w).alias("centroid_lat"), F.avg("lon").over(w).alias("centroid_lon"), *[f(c).over(w).alias(f"_{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
-    keyed = assign_partitions(boxed.withColumn("bbox_diag_km", geo.haversine_km("_min_lat", "_min_lon", "_max_lat", "_max_lon")))
-    return keyed.select(*points.columns, "tier", "partition_id", "hilbert_idx")
+    return assign_partitions(_boxed(points, id_col, order)).select(*points.columns, "tier", "partition_id", "hilbert_idx")
 
 
 def partition_summary(keyed: DataFrame) -> DataFrame:

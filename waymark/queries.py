@@ -284,6 +284,10 @@ def _both(p: DataFrame) -> DataFrame:
     return p.unionByName(days)
 
 
+def _keyed(p: DataFrame) -> DataFrame:
+    return partition.partition_points(_both(_in_rows(p)), order=["_row"]).drop("_row")
+
+
 BOTH = "both_ AS (SELECT * FROM gps UNION ALL SELECT id || '_' || strftime(time, '%Y%m%d') AS id, time, lat, lon, speed, heading FROM gps WHERE lat < 60)"
 META = f"meta AS MATERIALIZED (SELECT id, avg(lat) AS lat, avg(lon) AS lon, {hav('min(lat)', 'min(lon)', 'max(lat)', 'max(lon)')} / 1000.0::DOUBLE AS diag, count(*) AS n FROM both_ GROUP BY id)"
 KEYED = f"keyed AS MATERIALIZED (SELECT meta.*, hilbert_idx, {TIER_SQL.format(d='diag')} AS tier, {key_sql('lat', 'lon', 'diag')} AS partition_id FROM meta JOIN h USING (id))"
@@ -303,17 +307,17 @@ def assign_partitions(p: DataFrame) -> DataFrame:
 
 @query(sql(f"SELECT {ALL}, tier, partition_id, hilbert_idx FROM both_ b JOIN (SELECT id, tier, partition_id, hilbert_idx FROM keyed) USING (id)", *KEYS))
 def partition_points(p: DataFrame) -> DataFrame:
-    return partition.partition_points(_both(p))
+    return _keyed(p)
 
 
 @query(sql("SELECT tier, count(DISTINCT partition_id) AS n_partitions FROM keyed GROUP BY tier", *KEYS))
 def partition_summary(p: DataFrame) -> DataFrame:
-    return partition.partition_summary(partition.partition_points(_both(p)))
+    return partition.partition_summary(_keyed(p))
 
 
 @query(sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY n_rows DESC, partition_id) AS rank FROM (SELECT tier, partition_id, CAST(sum(n) AS BIGINT) AS n_rows FROM keyed GROUP BY tier, partition_id)) WHERE rank <= 5", *KEYS))
 def top_partitions_per_tier(p: DataFrame) -> DataFrame:
-    return partition.top_partitions(partition.partition_points(_both(p)), 5).withColumn("rank", F.col("rank").cast("long"))
+    return partition.top_partitions(_keyed(p), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
