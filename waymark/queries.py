@@ -329,7 +329,7 @@ def top_partitions_per_tier(p: DataFrame) -> DataFrame:
     )
 )
 def plan_slices(p: DataFrame) -> DataFrame:
-    return layout.plan_slices(partition.partition_points(_both(p)), 4, ["tier"]).select("id", "time", "tier", "hilbert_idx", "slice")
+    return layout.plan_slices(_keyed(p), 4, ["tier"]).select("id", "time", "tier", "hilbert_idx", "slice")
 
 
 # --- Segments ----------------------------------------------------------------------------------
