@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, ids, shape
 from waymark.operators import quality, segments, trajectory, ways
-from waymark.operators.partition import partition_points
 from waymark.plans import layout, matching
-from waymark.queries import ALL, GAP, KEYS, _both, brg, gap_cte, hav, query, sql, steps_cte, stops_cte
+from waymark.queries import ALL, GAP, KEYS, _keyed, brg, gap_cte, hav, query, sql, steps_cte, stops_cte
 from waymark.sources import readers
 
 
@@ -88,7 +87,7 @@ def split_by_stops_rough(p: DataFrame) -> DataFrame:
 def _written(p: DataFrame, times: int = 1) -> str:
     """A partitioned dataset of the pings' trips in `times` appended parts."""
     out = scratch(p.sparkSession, "trips")
-    keyed = partition_points(_both(p)).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(times)))
+    keyed = _keyed(p).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(times)))
     for k in range(times):
         layout.write_partitions(keyed.filter(F.col("_part") == k).drop("_part"), out)
     return out
