@@ -53,7 +53,7 @@ def border(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["assign_partitions", "partition_points", "plan_slices", "rebalanced_partitions"])
+@pytest.mark.parametrize("name", ["assign_partitions", "partition_points", "plan_slices", "rebalanced_partitions", "written_partitions"])
 def test_border(spark, border, name):
     got = QUERIES[name](spark, border[0]).toPandas()
     assert plain(got) == plain(border[1].execute(ORACLES[name]).df())
