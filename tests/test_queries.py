@@ -59,6 +59,11 @@ def test_border(spark, border, name):
     assert plain(got) == plain(border[1].execute(ORACLES[name]).df())
 
 
+def test_written_columns(spark, sf, con):
+    """A layout read back has the columns of its SQL in the same order, so that rows compare by position too."""
+    assert QUERIES["written_partitions"](spark, sf).columns == [r[0] for r in con.execute(f"describe {ORACLES['written_partitions']}").fetchall()]
+
+
 def test_keys_do_not_hang_on_dealing(spark, border):
     """Pings in any order give the same keys, also where nothing but positions tells the order."""
     pings = gps_points(spark, border[0])

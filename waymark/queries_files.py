@@ -103,7 +103,8 @@ PLACED = f"placed AS (SELECT {ALL}, tier, partition_id, hilbert_idx FROM both_ b
 
 @query(sql(f"SELECT {ALL}, tier, partition_id, hilbert_idx FROM placed", *KEYS, PLACED))
 def written_partitions(p: DataFrame) -> DataFrame:
-    return _numbered(readers.read_parquet(p.sparkSession, _written(p)))
+    """The layout read back, in the SQL's order of columns: Spark puts those of folder names last."""
+    return _numbered(readers.read_parquet(p.sparkSession, _written(p))).select(*p.columns, *layout.KEYS, "hilbert_idx")
 
 
 @query(sql("SELECT tier, partition_id, count(*) AS n_rows, 1::BIGINT AS n_files FROM placed GROUP BY ALL", *KEYS, PLACED))
